@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import langid, media, mixing, spm, substring
+from loomdex.llm import embed_dedup, langid, media, mixing, spm, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op3_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.deduplicate(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
@@ -34,5 +38,5 @@ def op9_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op4_byte_recurrent, op5_curriculum_mix, op8_sentencepiece_spans, op9_count_min_substrings)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op3_pca_tiles, op4_byte_recurrent, op5_curriculum_mix, op8_sentencepiece_spans, op9_count_min_substrings)}
 SQL: dict[str, str] = {}

@@ -94,3 +94,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
+
+
+class arrow_rows:
+    """While open, Arrow batches hold at most so many rows: for rows that are large themselves. Plans must run inside."""
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark: SparkSession, rows: int):
+        self.spark, self.rows = spark, rows
+
+    def __enter__(self) -> None:
+        self.before = self.spark.conf.get(self.KEY)
+        self.spark.conf.set(self.KEY, str(self.rows))
+
+    def __exit__(self, *_: object) -> None:
+        self.spark.conf.set(self.KEY, self.before)
