@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import embed_dedup, langid, media, mixing, spm, substring
+from loomdex.llm import embed_dedup, jaccard, langid, media, mixing, spm, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,5 +38,9 @@ def op9_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op3_pca_tiles, op4_byte_recurrent, op5_curriculum_mix, op8_sentencepiece_spans, op9_count_min_substrings)}
+def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op3_pca_tiles, op4_byte_recurrent, op5_curriculum_mix, op8_sentencepiece_spans, op9_count_min_substrings, op10_chosen_path_join)}
 SQL: dict[str, str] = {}
