@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import embed_dedup, jaccard, langid, media, mixing, spm, substring
+from loomdex.llm import embed_dedup, jaccard, langid, media, mixing, pii, spm, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.withColumnRenamed("__pii_count", "n_entities")
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -42,5 +47,5 @@ def op10_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_media_columns, op3_pca_tiles, op4_byte_recurrent, op5_curriculum_mix, op8_sentencepiece_spans, op9_count_min_substrings, op10_chosen_path_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_surrogates, op2_media_columns, op3_pca_tiles, op4_byte_recurrent, op5_curriculum_mix, op8_sentencepiece_spans, op9_count_min_substrings, op10_chosen_path_join)}
 SQL: dict[str, str] = {}
