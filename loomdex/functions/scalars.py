@@ -91,8 +91,9 @@ def yyyymmdd(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd").cast("int")
 
 
-def seconds_between(start: Column, end: Column) -> Column:
-    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6, 4)
+def seconds_between(start: Column, end: Column, digits: int | None = 4) -> Column:
+    seconds = ((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+    return seconds if digits is None else F.round(seconds, digits)
 
 
 def dit_items(record: Column) -> Column:

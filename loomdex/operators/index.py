@@ -54,10 +54,11 @@ def forward(found: DataFrame) -> DataFrame:
 
 
 def check(found: DataFrame, words: DataFrame) -> DataFrame:
-    """Words whose document frequency in the lexicon is not what the postings say: (word, expected, found)."""
+    """Words whose document frequency in the lexicon is not what the postings say: (word, expected, found), 0 where a side lacks it."""
     real = found.groupBy("word").agg(F.count_distinct("doc_id").alias("found"))
     both = words.select("word", F.col("df").alias("expected")).join(real, "word", "full")
-    return both.where(~F.col("expected").eqNullSafe(F.col("found")))
+    both = both.select("word", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
+    return both.where("expected <> found")
 
 
 def write(found: DataFrame, table: str, buckets: int = 64) -> None:
