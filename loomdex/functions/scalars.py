@@ -92,7 +92,7 @@ def yyyymmdd(ts: Column) -> Column:
 
 
 def seconds_between(start: Column, end: Column, digits: int | None = 4) -> Column:
-    seconds = ((F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
+    seconds = (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1e6
     return seconds if digits is None else F.round(seconds, digits)
 
 
