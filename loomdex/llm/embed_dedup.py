@@ -184,4 +184,5 @@ def deduplicate(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     known = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     known = known.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     out = good.join(known, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    return out.union(bad.select("vec_id", F.lit(0).cast("long"), F.col("vec_id"), F.col("vec_id").isNotNull()))
+    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    return out.unionByName(alone)
