@@ -119,10 +119,20 @@ def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), (byte % len(alphabet) + 1).cast("int"), F.lit(1))
 
 
-def _each(norm: Column, noise: Column, change) -> Column:
-    """norm with every character changed by change(character, its noise byte, its index)."""
-    byte = lambda i: F.conv(F.substring(noise, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
-    out = F.transform(F.split(norm, ""), lambda c, i: change(c, byte(i), i))
+#: Bytes of the keyed hash that a surrogate is drawn from.
+BYTES = 192
+
+
+def noise_of(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
+    """array<int> of BYTES keyed bytes. It is to be a column: surrogate() reads it in very many places."""
+    seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
+    digits = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{n}")), 512) for n in range(BYTES // 64)])
+    return F.transform(F.sequence(F.lit(0), F.lit(BYTES - 1)), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def _each(norm: Column, noise: Column, start: int, change) -> Column:
+    """norm with every character changed by change(character, its byte)."""
+    out = F.transform(F.split(norm, ""), lambda c, i: change(c, F.get(noise, i + start)))
     return F.when(norm == "", norm).otherwise(F.array_join(out, ""))
 
 
@@ -150,50 +160,55 @@ def iban_check(country: Column, rest: Column) -> Column:
     return F.lpad((98 - left).cast("string"), 2, "0")
 
 
-def surrogate(kind: Column, norm: Column, attempt: Column, key: str = KEY) -> Column:
-    """Canonical form of the surrogate that a part gets at this attempt."""
-    seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
-    noise = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{n}")), 512) for n in range(3)])
-    byte = lambda i: F.conv(F.substring(noise, 2 * i + 1, 2), 16, 10).cast("int")
+def surrogate(kind: Column, norm: Column, attempt: Column, noise: Column) -> Column:
+    """Canonical form of the surrogate that a part gets at this attempt. noise: noise_of() them."""
+    byte = lambda i: F.get(noise, F.lit(i))
+    alike = lambda text, start=0: _each(text, noise, start, _alike)
+    digits = lambda text, start=0: _each(text, noise, start, lambda c, b: _pick("0123456789", b))
     # short words have few of their kind: from the third attempt on they get longer
-    longer = F.when(attempt >= 2, F.substring(F.regexp_replace(noise, "[^0-9]", ""), F.lit(1), F.least(F.lit(12), attempt + 1))).otherwise("")
-    local = F.concat(_each(F.substring_index(norm, "@", 1), noise, lambda c, b, i: _alike(c, b)), longer)
-    label = F.concat(_each(F.substring_index(norm, ".", 1), noise, lambda c, b, i: _alike(c, b)), longer)
-    domain = F.concat(label, F.element_at(F.array(*[F.lit(x) for x in (".example.com", ".example.net", ".example.org")]), byte(60) % 3 + 1))
+    more = F.least(F.lit(12), attempt + 1)
+    longer = F.when(attempt >= 2, F.array_join(F.transform(F.slice(noise, F.lit(100), more), lambda b: (b % 10).cast("string")), "")).otherwise("")
+    before = F.when(kind == "email", F.substring_index(norm, "@", 1)).otherwise(F.substring_index(norm, ".", 1))
+    label = F.concat(alike(before), longer)
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".example.com", ".example.net", ".example.org")]), byte(60) % 3 + 1)
+    address = F.when(kind == "email", label).otherwise(F.concat(label, ending))
     ip = F.concat_ws(".", (byte(0) % 223 + 1).cast("string"), *[byte(n).cast("string") for n in (1, 2)], (byte(3) % 254 + 1).cast("string"))
-    digit = lambda c, b, i: _pick("0123456789", b)
-    body = F.concat(F.substring(norm, 1, 1), _each(F.substring(norm, F.lit(2), F.length(norm) - 2), noise, digit))
-    checked = F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    card = F.when(luhn(norm) == 0, checked).otherwise(F.concat(body, _pick("0123456789", byte(70))))
-    ssn = F.concat((byte(0) % 8 + 1).cast("string"), _each(F.substring(norm, F.lit(2), F.length(norm)), F.substring(noise, F.lit(3), F.length(noise)), digit))
+    body = F.concat(F.substring(norm, 1, 1), digits(F.substring(norm, F.lit(2), F.length(norm) - 2)))
+    last = F.when(luhn(norm) == 0, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string")).otherwise(_pick("0123456789", byte(70)))
+    card = F.concat(body, last)
+    ssn = F.concat((byte(0) % 8 + 1).cast("string"), digits(F.substring(norm, F.lit(2), F.length(norm)), 1))
     # + and country code stay; the first digit after it is no 0 or 1
     code = F.when(norm.startswith("+1"), "+1").otherwise(F.substring(norm, 1, 3))
     number = F.substring(norm, F.length(code) + 1, F.length(norm))
-    phone = F.concat(code, F.when(number != "", _pick("23456789", byte(80))).otherwise(""), _each(F.substring(number, F.lit(2), F.length(number)), noise, digit))
-    rest = _each(F.substring(norm, F.lit(5), F.length(norm)), noise, lambda c, b, i: _alike(c, b))
-    country = F.substring(norm, 1, 2)
+    phone = F.concat(code, F.when(number != "", _pick("23456789", byte(80))).otherwise(""), digits(F.substring(number, F.lit(2), F.length(number))))
+    country, rest = F.substring(norm, 1, 2), alike(F.substring(norm, F.lit(5), F.length(norm)))
     iban = F.concat(country, iban_check(country, rest), rest)
-    hexadecimal = _each(norm, noise, lambda c, b, i: _pick("0123456789abcdef", b))
-    secret = F.when(norm.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(_each(norm, noise, lambda c, b, i: _alike(c, b)))
-    access = F.concat(F.substring(norm, 1, 4), _each(F.substring(norm, F.lit(5), F.length(norm)), noise, lambda c, b, i: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b)))
-
-    def syllables(n: int, script: str, start: int) -> Column:
-        onset, vowel = SYLLABLES[script]
-        return F.concat(*[x for k in range(n) for x in (_pick(onset, byte(start + 2 * k)), _pick(vowel, byte(start + 2 * k + 1)))])
+    hexadecimal = _each(norm, noise, 0, lambda c, b: _pick("0123456789abcdef", b))
+    secret = F.when(norm.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(alike(norm))
+    access = F.concat(F.substring(norm, 1, 4), _each(F.substring(norm, F.lit(5), F.length(norm)), noise, 0, lambda c, b: _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", b)))
+    out = F.when(kind.isin("email", "domain"), address).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
+    out = out.when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "access_key", access)
+    return out.otherwise(_name(kind, attempt, noise))
 
-    def pool(*names: str) -> Column:
-        return F.lower(F.element_at(F.array(*[F.lit(n) for n in names]), byte(0) % len(names) + 1))
 
-    out = F.when(kind == "email", local).when(kind == "domain", domain).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn)
-    out = out.when(kind == "phone", phone).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "access_key", access)
+def _name(kind: Column, attempt: Column, noise: Column) -> Column:
+    """A given name of the kind's gender and script from the lists, or a surname made of syllables; from the second attempt on with more syllables."""
+    byte = lambda i: F.get(noise, F.lit(i))
     tail = {"latin": ("n", "n", "n"), "cyrillic": ("ов", "ова", "ко"), "greek": ("ς", "ς", "ς")}
     names = {"latin": (LATIN_M, LATIN_F), "cyrillic": (CYRILLIC_M, CYRILLIC_F), "greek": (GREEK_M, GREEK_F)}
+    out = F.lit(None).cast("string")
     for script, (m, f) in names.items():
-        more = F.when(attempt >= 1, syllables(3, script, 20)).otherwise("")
-        for sex, (sexes, end) in enumerate(((m, tail[script][0]), (f, tail[script][1]), ((*m, *f), tail[script][2]))):
-            out = out.when(kind == f"given_{script}{'mfu'[sex]}", F.concat(pool(*sexes), more))
-            out = out.when(kind == f"surname_{script}{'mfu'[sex]}", F.concat(syllables(3, script, 2), more, F.lit(end)))
-        out = out.when(kind == f"surname_{script}", F.concat(syllables(3, script, 2), more, F.lit(tail[script][2])))
+        onset, vowel = SYLLABLES[script]
+
+        def syllables(start: int, onset: str = onset, vowel: str = vowel) -> Column:
+            pairs = F.slice(noise, F.lit(start), F.lit(6))
+            return F.array_join(F.transform(pairs, lambda b, i: F.when(i % 2 == 0, _pick(onset, b)).otherwise(_pick(vowel, b))), "")
+
+        more = F.when(attempt >= 1, syllables(20)).otherwise("")
+        pool = F.when(kind.endswith("m"), F.array(*map(F.lit, m))).when(kind.endswith("f"), F.array(*map(F.lit, f))).otherwise(F.array(*map(F.lit, (*m, *f))))
+        end = F.when(kind.endswith(f"{script}m"), tail[script][0]).when(kind.endswith(f"{script}f"), tail[script][1]).otherwise(tail[script][2])
+        given = F.concat(F.lower(F.element_at(pool, byte(0) % F.size(pool) + 1)), more)
+        out = F.when(kind.startswith(f"given_{script}"), given).when(kind.startswith(f"surname_{script}"), F.concat(syllables(3), more, end)).otherwise(out)
     return out
 
 
@@ -223,7 +238,9 @@ def assign(things: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
     taken = base.select("family", F.col("canon").alias("canonical")).distinct().withColumn("real", F.lit(True))
     state = base.withColumn("attempt", F.lit(0)).withColumn("settled", F.lit(False))
     for _ in range(rounds):
-        drawn = state.withColumn("canonical", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        noisy = state.withColumn("noise", noise_of(F.col("kind"), F.col("norm"), F.col("attempt"), key))
+        drawn = noisy.withColumn("canonical", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("noise"))).drop("noise")
+        drawn = cut(drawn)
         # of those that coincide the one settled before, or else the first, stays
         best = drawn.groupBy("family", "canonical").agg(F.min(F.struct(~F.col("settled"), F.col("kind"), F.col("norm"))).alias("best"))
         best = best.join(taken, ["family", "canonical"], "left")
