@@ -24,8 +24,7 @@ SHIFT = 1 << 40
 
 @dataclass(frozen=True)
 class Options:
-    """synonyms: word to other words. stem_of: stems of words of the collection, for MORP: operands; words without one count by
-    themselves. A paragraph ends at the mark."""
+    """synonyms: word to other words, for SYN: operands. paragraph: pattern at which paragraphs end."""
 
     synonyms: Mapping[str, Iterable[str]] = field(default_factory=dict)
     paragraph: str = r"\n"
