@@ -35,6 +35,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: more compact than cut(), and read by column."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) that connect what edges a-b connect, root being the least node of each tree."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm.shared import written
 from loomdex.llm.words import mix, windows, word_hashes
 
 WINDOW = 13
@@ -217,6 +218,39 @@ def runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return (doc[begins], at[begins], at[ends] - at[begins] + 1) if len(doc) else (doc, at, at)
 
 
+def doc_filter(ids: DataFrame, most_bits: int = MOST_BITS) -> tuple[bytes, int]:
+    """Bitmap of hashed doc_ids, of at most 2^most_bits bits: a document whose bit is unset is not among ids. ids: (doc_id), distinct."""
+    bits = int(min(most_bits, max(12, (16 * ids.count()).bit_length())))
+    shard_bits = min(6, bits - 3)
+    width = bits - shard_bits
+
+    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            slots = np.unique(mix(pdf["doc_id"].to_numpy().view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            cuts = np.searchsorted(slots, np.arange((1 << shard_bits) + 1) << width)
+            out = [(s, pack_slots(slots[a:b] - (s << width))) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            yield pd.DataFrame(out, columns=["shard", "slots"])
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, there = None, None
+        for pdf in frames:
+            for s, slots in zip(pdf["shard"], pdf["slots"], strict=True):
+                if s != shard:
+                    if shard is not None:
+                        yield pd.DataFrame({"shard": [shard], "bitmap": [np.packbits(there, bitorder="little").tobytes()]})
+                    shard, there = s, np.zeros(1 << width, bool)
+                there[unpack_slots(slots)] = True
+        if shard is not None:
+            yield pd.DataFrame({"shard": [shard], "bitmap": [np.packbits(there, bitorder="little").tobytes()]})
+
+    merged = ids.mapInPandas(emit, "shard int, slots binary").repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, bitmap binary")
+    out = bytearray(1 << (bits - 3))
+    size = (1 << width) // 8
+    for r in merged.toLocalIterator():
+        out[r["shard"] * size : (r["shard"] + 1) * size] = r["bitmap"]
+    return bytes(out), bits
+
+
 def removed_words(words: int, found: list, k: int) -> np.ndarray:
     gone = np.zeros(words + 1, np.int32)
     for start, n in found:
@@ -229,24 +263,46 @@ def deduplicate(docs: DataFrame, k: int = WINDOW, most_bits: int = MOST_BITS) ->
     """docs with __sub_text (kept words joined by one space), __sub_words and __sub_removed."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = repeated(narrow, k, most_bits).groupBy(F.col("doc_id").alias("__sub_doc")).agg(F.collect_list(F.struct("start", "n")).alias("__sub_runs"))
-    joined = docs.join(found, F.col("doc_id") == F.col("__sub_doc"), "left").drop("__sub_doc")
+    found = written(found, "runs")
+    bitmap, bits = doc_filter(found.select(F.col("__sub_doc").alias("doc_id")))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def lookup(ids: pd.Series) -> np.ndarray:
+        there = np.frombuffer(sent.value, np.uint8)
+        at = mix(ids.fillna(0).to_numpy(np.int64).view(np.uint64)) >> np.uint64(64 - bits)
+        return (there[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & ids.notna().to_numpy()
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(lookup(ids))
+
     part = "__sub_text string, __sub_words long, __sub_removed long"
 
+    @F.pandas_udf(part)
+    def whole(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for ids, texts in frames:
+            rows = []
+            for other, text in zip(lookup(ids).tolist(), texts, strict=True):
+                parts = text.encode().split() if text and not other else []
+                rows.append((None, None, None) if other else (b" ".join(parts).decode(), len(parts), 0))
+            out = pd.DataFrame(rows, columns=["__sub_text", "__sub_words", "__sub_removed"])
+            yield out.astype({"__sub_words": "Int64", "__sub_removed": "Int64"})
+
     @F.pandas_udf(part)
     def cut(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, spans in frames:
             rows = []
             for text, found in zip(texts, spans, strict=True):
                 parts = text.encode().split() if text else []
-                if found is None or not len(found):
-                    rows.append((b" ".join(parts).decode(), len(parts), 0))
-                else:
-                    gone = removed_words(len(parts), [(r["start"], r["n"]) for r in found], k)
-                    rows.append((b" ".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g]).decode(), len(parts), int(gone.sum())))
+                gone = removed_words(len(parts), [] if found is None else [(r["start"], r["n"]) for r in found], k)
+                rows.append((b" ".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g]).decode(), len(parts), int(gone.sum())))
             yield pd.DataFrame(rows, columns=["__sub_text", "__sub_words", "__sub_removed"])
 
-    out = joined.withColumn("__sub", cut(F.col("text").cast("string"), F.col("__sub_runs")))
-    return out.select(*docs.columns, "__sub.*")
+    # only texts that may lose words are shuffled; each stage has one Python step, so that few workers are up at a time
+    narrow_id, words = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    joined = docs.where(maybe(narrow_id)).join(found, narrow_id == F.col("__sub_doc"), "left").withColumn("__sub", cut(words, F.col("__sub_runs")))
+    rest = docs.withColumn("__sub", whole(narrow_id, words)).where("__sub.__sub_words is not null")
+    return joined.select(*docs.columns, "__sub.*").unionByName(rest.select(*docs.columns, "__sub.*"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
