@@ -94,9 +94,10 @@ def windows(h: np.ndarray, offsets: np.ndarray, k: int, seed: int = 1) -> tuple[
     """Hash of the k words from each word on, and whether all k lie in one text. Both as long as h."""
     rng = np.random.default_rng(seed)
     out = np.zeros(len(h), np.uint64)
-    for i in range(k):
+    # with fewer than k words in all no window is whole, and none reaches past the end
+    for i in range(min(k, len(h))):
         m = rng.integers(1, 1 << 63, dtype=np.uint64) | np.uint64(1)
-        out[: len(h) - i] += h[i:] * m if i else h * m
+        out[: len(h) - i] += h[i:] * m
     whole = np.zeros(len(h) + 1, np.int32)
     counts = np.diff(offsets)
     lo, hi = offsets[:-1][counts >= k], offsets[1:][counts >= k] - k + 1

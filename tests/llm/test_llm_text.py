@@ -46,6 +46,25 @@ def test_words_longer_than_a_chunk():
     assert offsets.tolist() == [0, 2, 4] and h[1] == h[2]
 
 
+@pytest.mark.parametrize("k", [5, 13])
+def test_windows_of_short_texts(k):
+    h, offsets = words.word_hashes([" ".join(map(str, range(30)))])
+    want, _ = words.windows(h, offsets, k)
+    for n in range(k + 2):
+        short, whole = words.windows(h[:n], np.array([0, n]), k)
+        assert whole.tolist() == [True] * max(0, n - k + 1) + [False] * min(n, k - 1)
+        assert short[whole].tolist() == want[: max(0, n - k + 1)].tolist()
+
+
+def test_partitions_of_one_short_text(spark):
+    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in range(14)] + [(20, "w0 w1"), (21, " ".join(f"w{i}" for i in range(13)))]
+    d = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert max(d.rdd.glom().map(len).collect()) == 1
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digests(d).collect()}
+    assert got == substring.brute(rows)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard.join(d).collect()} == brute(rows)
+
+
 # ---------------------------------------------------------------- SentencePiece
 def test_pieces_are_the_library_s():
     p, rng = spm.Piecer(), random.Random(1)
