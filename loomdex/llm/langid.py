@@ -5,8 +5,9 @@ position with a probability per language, and the document's probabilities are t
 trained here in numpy by backpropagation through time.
 
 Training uses text and lang of a bounded sample: of each language at most PER_LANG documents whose crc32(doc_id) mod 5
-is not 0, those with the least keyed hash over the whole table, and of each a few stretches. lang, source and doc_id are
-never inputs of a prediction. Every byte of every text is labelled.
+is not 0, those with the least keyed hash over the whole table, and of each a few stretches; shorter texts are a stretch
+of their own, padded, and what is padded does not count. Languages without any text to learn from are not predicted.
+lang, source and doc_id are never inputs of a prediction. Every byte of every text is labelled.
 
 A text that is null or has no letter is "und" with score 0, as is every text if no labelled row may be learned from.
 Rows are independent: repeated rows and ties get equal results (of equal probabilities the first language in code point order wins); columns other than those
@@ -124,7 +125,7 @@ def pooled(model: Model, texts: list[str]) -> np.ndarray:
 
 def fit(sample: list[tuple[str, str]], seed: int = 5, hidden: int = HIDDEN, steps: int = STEPS) -> Model:
     """A model of (text, lang) pairs; Adam on the cross-entropy of every position, each language equally often."""
-    langs = sorted({lang for _, lang in sample})
+    langs = sorted({lang for text, lang in sample if text})
     rng = np.random.default_rng(seed)
     model, k = Model(langs), len(langs)
     if k == 0:
@@ -135,17 +136,19 @@ def fit(sample: list[tuple[str, str]], seed: int = 5, hidden: int = HIDDEN, step
     pieces = [[] for _ in langs]
     for text, lang in sample:
         raw = text.encode()
-        for at in range(0, max(1, len(raw) - SEGMENT + 1), SEGMENT):
-            if len(raw) - at >= SEGMENT // 2:
-                pieces[langs.index(lang)].append(np.frombuffer(raw[at : at + SEGMENT].ljust(SEGMENT), np.uint8))
-    pieces = [np.array(p) for p in pieces if p]
-    if len(pieces) < k or k == 1:
+        if raw:
+            for at in range(0, max(1, len(raw) - SEGMENT + 1), SEGMENT):
+                pieces[langs.index(lang)].append(raw[at : at + SEGMENT])
+    if k == 1:
         return model
+    sizes = [np.array([len(b) for b in p]) for p in pieces]
+    pieces = [np.array([np.frombuffer(b.ljust(SEGMENT), np.uint8) for b in p]) for p in pieces]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(steps):
         kinds = rng.integers(0, k, BATCH)
-        x = np.stack([pieces[c][rng.integers(len(pieces[c]))] for c in kinds]).T.copy()
-        grads = _gradients(model, x, kinds)
+        chosen = [rng.integers(len(pieces[c])) for c in kinds]
+        x = np.stack([pieces[c][at] for c, at in zip(kinds, chosen, strict=True)]).T.copy()
+        grads = _gradients(model, x, kinds, np.array([sizes[c][at] for c, at in zip(kinds, chosen, strict=True)]))
         rate = RATE * 0.5 * (1 + np.cos(np.pi * step / steps))
         norm = float(np.sqrt(sum((g.astype(np.float64) ** 2).sum() for g in grads)))
         for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -156,9 +159,12 @@ def fit(sample: list[tuple[str, str]], seed: int = 5, hidden: int = HIDDEN, step
     return model
 
 
-def _gradients(model: Model, x: np.ndarray, kinds: np.ndarray) -> list[np.ndarray]:
-    """Gradients of the mean cross-entropy of all positions, in the order of fit()'s parameters."""
+def _gradients(model: Model, x: np.ndarray, kinds: np.ndarray, sizes: np.ndarray | None = None) -> list[np.ndarray]:
+    """Gradients of the mean over sequences of the mean cross-entropy of their positions, in the order of fit()'s
+    parameters. sizes: of each sequence the number of positions that count; all do if it is not given."""
     steps, wide = x.shape
+    sizes = np.full(wide, steps) if sizes is None else sizes
+    inside = (np.arange(steps)[:, None] < sizes).astype(np.float32)
     hidden = model.recurrent[0].shape[1]
     kept = []
     for d in (0, 1):
@@ -170,7 +176,7 @@ def _gradients(model: Model, x: np.ndarray, kinds: np.ndarray) -> list[np.ndarra
             z, r = zr[:hidden], zr[hidden:]
             n = np.tanh(g[2 * hidden :] + r * a[2 * hidden :])
             trace.append((t, h, z, r, n, a[2 * hidden :]))
-            h = n + z * (h - n)
+            h = (n + z * (h - n)) * inside[t]  # backwards, a sequence begins at its last position that counts
         kept.append((trace, [tr[1] for tr in trace[1:]] + [h]))
     hs = np.zeros((steps, 2 * hidden, wide), np.float32)
     for d, (trace, after) in enumerate(kept):
@@ -180,7 +186,7 @@ def _gradients(model: Model, x: np.ndarray, kinds: np.ndarray) -> list[np.ndarra
     logits = np.exp(logits - logits.max(1, keepdims=True))
     delta = logits / logits.sum(1, keepdims=True)
     delta[:, kinds, np.arange(wide)] -= 1
-    delta /= steps * wide
+    delta *= (inside / (sizes * wide).astype(np.float32))[:, None, :]
     grad_out = np.einsum("tkb,thb->kh", delta, hs)
     grad_bias = delta.sum((0, 2))[:, None]
     into = model.out.T @ delta
@@ -189,7 +195,7 @@ def _gradients(model: Model, x: np.ndarray, kinds: np.ndarray) -> list[np.ndarra
         u = model.recurrent[d]
         gt, gu, back = np.zeros((3 * hidden, 256), np.float32), np.zeros_like(u), np.zeros((hidden, wide), np.float32)
         for t, h, z, r, n, an in reversed(trace):
-            back = back + into[t, d * hidden : (d + 1) * hidden]
+            back = (back + into[t, d * hidden : (d + 1) * hidden]) * inside[t]
             dn = back * (1 - z) * (1 - n * n)
             dz = back * (h - n) * z * (1 - z)
             dr = dn * an * r * (1 - r)
@@ -211,7 +217,7 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, per_lang: int = PER_LANG, stretch: int = 1024, seed: int = 11) -> list[tuple[str, str]]:
     """At most per_lang (text, lang) pairs of each language, texts being stretches of at most this many characters from
     a keyed place; rows are chosen over the whole table by the least keyed hash, without ordering it."""
-    open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    open_rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     open_rows = open_rows.select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in open_rows.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if len(counts) > MOST_LANGS:

@@ -133,6 +133,31 @@ def test_gradients():
         assert abs(slope - g[at]) < 1e-4
 
 
+def test_padding_does_not_count():
+    rng = np.random.default_rng(2)
+    m = langid.fit([("abc abd", "x"), ("xyz", "y")], hidden=4, steps=0)
+    x, kinds, sizes = rng.integers(97, 110, (6, 3)).astype(np.uint8), np.array([0, 1, 1]), np.array([6, 2, 4])
+    each = [langid._gradients(m, x[:n, i : i + 1], kinds[i : i + 1]) for i, n in enumerate(sizes)]
+    for got, *one in zip(langid._gradients(m, x, kinds, sizes), *each, strict=True):
+        assert np.allclose(got, sum(one) / 3, atol=1e-6)
+
+
+def test_language_id_with_short_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, lang), lang) for i, lang in enumerate(rng.choices(["aa", "bb"], k=200))]
+    short = [(1000 + i, "".join(rng.choices(SYLLABLES["cc"], k=4)), "cc") for i in range(60)]
+    empty = [(2000 + i, "", "dd") for i in range(40)]  # a language without text
+    d = spark.createDataFrame(rows + short + empty, "doc_id long, text string, lang string").repartition(3)
+    s = langid.sample(d)
+    assert max(len(t.encode()) for t, lang in s if lang == "cc") < langid.SEGMENT // 2
+    model = langid.fit([*s, ("", "dd")], steps=80)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = {r.doc_id: r for r in langid.predict(d, model).collect()}
+    out = [r for r in rows + short if got[r[0]].held_out]
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in out]) >= 0.95
+    assert all(got[i].lang_pred == "und" for i, *_ in empty)
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, lang), lang, "s") for i, lang in enumerate(rng.choices(list(SYLLABLES), k=240))]
