@@ -43,7 +43,8 @@ _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _AWS = r"(?<![\p{L}\p{N}])A[KS]IA[0-9A-Z]{16}(?![\p{L}\p{N}])"
 _NAMED = r"(?i:(?<![\p{L}\p{N}])(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\x22']?)"
-_SECRET = _NAMED + r"[A-Za-z0-9_+/=-]{8,128}"
+#: All of the value, of any length and with dots inside, as far as eight characters without a dot stand together somewhere.
+_SECRET = _NAMED + r"(?=[A-Za-z0-9_+/=.-]*[A-Za-z0-9_+/=-]{8})[A-Za-z0-9_+/=-][A-Za-z0-9_+/=.-]*(?<!\.)"
 _GIVEN_ALL = (*LATIN_M, *LATIN_F, *CYRILLIC_M, *CYRILLIC_F, *GREEK_M, *GREEK_F)
 _TITLE = r"(?:" + "|".join((*TITLES_M, *TITLES_F, *TITLES_U)) + r")\.? "
 _WORD = r"\p{Lu}[\p{L}’'-]{1,30}"
@@ -119,15 +120,18 @@ def _pick(alphabet: str, byte: Column) -> Column:
     return F.substring(F.lit(alphabet), (byte % len(alphabet) + 1).cast("int"), F.lit(1))
 
 
-#: Bytes of the keyed hash that a surrogate is drawn from.
+#: Bytes of the keyed hash that a surrogate is drawn from, at least; longer parts have a byte for each character.
 BYTES = 192
 
 
 def noise_of(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """array<int> of BYTES keyed bytes. It is to be a column: surrogate() reads it in very many places."""
+    """array<int> of keyed bytes, 64 by each hash. It is to be a column: surrogate() reads it in very many places."""
     seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
-    digits = F.concat(*[F.sha2(F.concat(seed, F.lit(f"|{n}")), 512) for n in range(BYTES // 64)])
-    return F.transform(F.sequence(F.lit(0), F.lit(BYTES - 1)), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+    # of a long seed the digest stands for it, so that each block costs the same
+    seed = F.when(F.length(norm) > BYTES, F.sha2(seed, 512)).otherwise(seed)
+    blocks = F.ceil(F.greatest(F.length(norm), F.lit(BYTES)) / 64).cast("int")
+    digits = F.transform(F.sequence(F.lit(0), blocks - 1), lambda n: F.sha2(F.concat(seed, F.lit("|"), n.cast("string")), 512))
+    return F.flatten(F.transform(digits, lambda d: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(d, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))))
 
 
 def _each(norm: Column, noise: Column, start: int, change) -> Column:

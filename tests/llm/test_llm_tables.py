@@ -360,6 +360,29 @@ def test_surrogates(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(d, key="another").collect()}[0] != new[0]
 
 
+def test_long_secrets(spark):
+    rng = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    values = ["".join(rng.choices(alphabet, k=n)) for n in (8, 128, 129, 192, 193, 240, 5000, 100_000)]
+    jwt = ".".join("".join(rng.choices(alphabet + "_-", k=n)) for n in (36, 150, 43))
+    values += [jwt, values[5][:200] + "x" * 40, "ya29." + values[1], "".join(rng.choices("0123456789abcdef", k=300)), values[1] + "/+=="]
+    d = spark.createDataFrame([(i, f'token = "{v}", then. password={v}. End token: {v}') for i, v in enumerate(values)], "doc_id long, text string").repartition(2)
+    made = []
+    for r in pii.pseudonymise(d).collect():
+        v = values[r.doc_id]
+        m = re.fullmatch(r'token = "([^"]*)", then\. password=(.*)\. End token: (.*)', r.text)
+        assert r["__pii_count"] == 3 and m and m[1] == m[2] == m[3] and len(m[1]) == len(v)
+        assert re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", m[1]))) == re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v))) or re.fullmatch("[0-9a-f]+", v + m[1])
+        # no stretch is left in clear, and the noise does not repeat
+        assert not any(v[k : k + 8] in m[1] for k in range(0, len(v) - 7, 4)) or v.count("x") >= 40
+        assert len(v) < 300 or len({m[1][k : k + 16] for k in range(0, len(v) - 15, 16)}) == len(v) // 16
+        made.append(m[1])
+    assert len(set(made)) == len(values)
+    kept = ["token = 3.14159 or so", "password: e.g. a.b.c.d", "secret = short"]
+    clean = spark.createDataFrame(list(enumerate(kept)), "doc_id long, text string")
+    assert sorted(r.text for r in pii.pseudonymise(clean).collect()) == sorted(kept)
+
+
 def test_surrogate_edges(spark):
     d = spark.createDataFrame([(None, PEOPLE, 3), (1, PEOPLE, 3), (1, PEOPLE, 3)], "doc_id long, text string, n_chars long")
     out = pii.with_surrogates(d)
