@@ -3,7 +3,8 @@
 Each source has a piecewise-linear weight schedule over training time 0..1. Its share of the demand at any time is its
 weight over the sum of weights; integrating it gives the cumulative number of words wanted by then. The words a source
 supplies are laid end to end in a keyed random order, and inverting the cumulative demand at a copy's midpoint gives its
-training position. Documents are range-sorted by that position.
+training position. Documents are range-sorted by that position. Schedules go to sources in code point order, repeating, as
+weights do; sources without words demand nothing.
 
 A word is ``[^\\x20\\x09-\\x0D]+``. A null text has size 0. Null is a source of its own, ordered last. Equal rows are
 copies like any others and may be taken differently; rows with size 0 are taken 0 times. An empty table gives no rows. Columns of the input
@@ -26,6 +27,14 @@ MOST_EPOCHS = 3.0
 #: Steps of the tabulated demand curve.
 GRID = 256
 Schedule = Sequence[tuple[float, float]]
+#: What a source's weight is multiplied by over time, in code point order, repeating; the mean of each is 1.
+SHAPES: Sequence[Schedule] = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (1.0, 1.5)))
+
+
+def schedules_of(weights: Sequence[float] = WEIGHTS) -> list[Schedule]:
+    """The schedules that are used if none are given: weights times SHAPES, until both repeat."""
+    n = math.lcm(len(weights), len(SHAPES))
+    return [[(t, float(weights[i % len(weights)]) * x) for t, x in SHAPES[i % len(SHAPES)]] for i in range(n)]
 
 
 def words(text: Column) -> Column:
@@ -33,7 +42,7 @@ def words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS) -> DataFrame:
-    """(source, source_size, weight, target) from (source, source_size): the whole size dealt out by weight, no source
+    """(source, source_size, weight, rank, target) from (source, source_size), rank being that in code point order: the whole size dealt out by weight, no source
     above most times its own size, the excess dealt again by weight until none is above.
 
     Sorted by the level at which a source is full, the ones that fill up form a prefix; running sums find it. It works on
@@ -43,7 +52,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     by_level = Window.orderBy("level", F.col("source").asc_nulls_last())
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    s = sizes.withColumn("weight", F.element_at(ws, (F.pmod(F.row_number().over(by_name) - 1, F.lit(n)) + 1).cast("int")))
+    s = sizes.withColumn("rank", F.row_number().over(by_name) - 1)
+    s = s.withColumn("weight", F.element_at(ws, (F.pmod("rank", F.lit(n)) + 1).cast("int")))
     s = s.withColumn("cap", most * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
     upto, everything = by_level.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy()
     s = s.withColumn("total", F.sum("source_size").over(everything).cast("double"))
@@ -53,11 +63,11 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     # the first source in order of level that is not full at the rate then left sets the rate of all that follow
     s = s.withColumn("final", F.min(F.when(F.col("level") >= F.col("rate"), F.struct("level", "source", "rate"))).over(everything)["rate"])
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("final") * F.col("weight")))
-    return s.select("source", "source_size", "weight", target.alias("target"))
+    return s.select("source", "source_size", "weight", "rank", target.alias("target"))
 
 
 def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 7, bucket_words: int = 1 << 20) -> DataFrame:
-    """docs with __mix_size, __mix_source_size, __mix_target, __mix_copies (whole copies), __mix_part (words of one more, partial copy), __mix_start
+    """docs with __mix_size, __mix_source_size, __mix_target, __mix_rank, __mix_copies (whole copies), __mix_part (words of one more, partial copy), __mix_start
     (words of its source before its first copy, in the keyed order).
 
     Every row gets floor(target / source_size) whole copies. For the rest, rows are put in a keyed order and taken whole
@@ -68,7 +78,7 @@ def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOS
     d = docs.withColumns({"__mix_size": words(F.col("text")), "__mix_key": at, "__mix_source": F.col("source")})
     sizes = d.groupBy(F.col("__mix_source").alias("source")).agg(F.sum("__mix_size").alias("source_size"))
     t = targets(sizes, weights, most).withColumn("__mix_buckets", F.greatest(F.lit(1), (F.col("source_size") / bucket_words).cast("long")))
-    t = t.select(F.col("source").alias("__mix_name"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), "__mix_buckets")
+    t = t.select(F.col("source").alias("__mix_name"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("rank").alias("__mix_rank"), "__mix_buckets")
     d = d.join(t, F.col("__mix_source").eqNullSafe(F.col("__mix_name"))).drop("__mix_name")
     # keys are uniform: bucket = floor(key's fraction of the range * buckets)
     fraction = F.shiftrightunsigned("__mix_key", 11) / F.lit(float(1 << 53))
@@ -113,31 +123,62 @@ def demand(schedule: Schedule, others: Sequence[Schedule] = (), grid: int = GRID
     return [x / out[-1] for x in out]
 
 
+def inverse(progress: Column, curve: Sequence[float]) -> Column:
+    """Time at which this tabulated curve reaches progress."""
+    grid = len(curve) - 1
+    steps = F.array(*[F.lit(x) for x in curve])
+    # number of grid points at or below: the curve does not fall, so a filter counts them
+    k = F.least(F.greatest(F.size(F.filter(steps, lambda x: x <= progress)), F.lit(1)), F.lit(grid))
+    lo, hi = F.element_at(steps, k), F.element_at(steps, k + 1)
+    inner = F.when(hi > lo, (progress - lo) / (hi - lo)).otherwise(F.lit(0.0))
+    return (k - 1 + F.least(inner, F.lit(1.0))) / grid
+
+
 def position(progress: Column, source: Column, schedules: Mapping[str, Schedule] | None = None, grid: int = GRID) -> Column:
     """Time at which the source's cumulative demand reaches this fraction of its words. Sources without a schedule have a
     flat one, whose demand is inverted by itself."""
     out = progress
     for name, knots in (schedules or {}).items():
         curve = demand(knots, [k for n, k in schedules.items() if n != name], grid)
-        steps = F.array(*[F.lit(x) for x in curve])
-        # number of grid points at or below: the curve does not fall, so a filter counts them
-        k = F.least(F.greatest(F.size(F.filter(steps, lambda x: x <= progress)), F.lit(1)), F.lit(grid))
-        lo, hi = F.element_at(steps, k), F.element_at(steps, k + 1)
-        inner = F.when(hi > lo, (progress - lo) / (hi - lo)).otherwise(F.lit(0.0))
-        out = F.when(source == name, (k - 1 + F.least(inner, F.lit(1.0))) / grid).otherwise(out)
+        out = F.when(source == name, inverse(progress, curve)).otherwise(out)
+    return out
+
+
+def curves(docs: DataFrame, schedules: Sequence[Schedule], grid: int = GRID) -> dict[int, list[float]]:
+    """The demand curve of each schedule that sources with words have, by its place. All sources of one schedule have the
+    same, so that only their number is needed: rows to the driver are as many as schedules."""
+    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    sources = docs.select("source", some.alias("some")).groupBy("source").agg(F.max("some").alias("some"))
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # as in targets()
+    ranked = sources.select("some", F.pmod(rank, F.lit(len(schedules))).alias("at"))
+    counts = {r["at"]: r["count"] for r in ranked.where("some").groupBy("at").count().collect()}
+    times = lambda at, n: [(t, n * x) for t, x in schedules[at]]
+    return {at: demand(schedules[at], [times(o, n - (o == at)) for o, n in counts.items()], grid) for at in counts}
+
+
+def placed(docs: DataFrame, done: Column, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None, weights: Sequence[float]) -> Column:
+    """Training position of a copy in whose source this many words are done at its midpoint."""
+    progress = F.least(F.lit(1.0), done / F.col("__mix_target"))
+    if isinstance(schedules, Mapping):
+        return position(progress, F.col("source"), schedules)
+    each = schedules_of(weights) if schedules is None else schedules
+    out = F.lit(None).cast("double")
+    for at, curve in curves(docs, each).items():
+        out = F.when(F.pmod("__mix_rank", F.lit(len(each))) == at, inverse(progress, curve)).otherwise(out)
     return out
 
 
-def curriculum(docs: DataFrame, schedules: Mapping[str, Schedule] | None = None, **how: object) -> DataFrame:
+def curriculum(docs: DataFrame, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None = None, weights: Sequence[float] = WEIGHTS, **how: object) -> DataFrame:
     """One row per copy that the mix takes, in order of training: the columns of docs, with text cut after the last word
-    that is taken, then __mix_position (0..1), __mix_copy and __mix_words."""
-    d = taken(docs, **how)
+    that is taken, then __mix_position (0..1), __mix_copy and __mix_words. schedules: by name, or repeating, as weights do;
+    schedules_of(weights) if there are none."""
+    d = taken(docs, weights, **how)
     epochs = F.col("__mix_copies") + (F.col("__mix_part") > 0).cast("long")
     d = d.where(epochs > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), epochs.cast("int"))))
     partial = F.col("__mix_copy") > F.col("__mix_copies")
     used = F.when(partial, F.col("__mix_part")).otherwise(F.col("__mix_size"))
     done = (F.col("__mix_copy") - 1) * F.col("__mix_source_size") + F.col("__mix_start") + used / 2
-    d = d.withColumns({"__mix_words": used, "__mix_position": position(F.least(F.lit(1.0), done / F.col("__mix_target")), F.col("source"), schedules)})
+    d = d.withColumns({"__mix_words": used, "__mix_position": placed(docs, done, schedules, weights)})
     d = d.withColumn("text", F.when(partial, _first_words()).otherwise(F.col("text")))
     d = d.select(*docs.columns, "__mix_position", "__mix_copy", "__mix_words")
     return d.repartitionByRange(F.col("__mix_position"), F.col("doc_id")).sortWithinPartitions("__mix_position", "doc_id", "__mix_copy")
@@ -149,10 +190,14 @@ def _first_words() -> Column:
     return F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
 
 
-def mix(docs: DataFrame, **how: object) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken, and position (of its first copy; null if not taken)."""
-    d = taken(docs.select("doc_id", "text", "source"), **how)
+def mix(docs: DataFrame, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None = None, weights: Sequence[float] = WEIGHTS, **how: object) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken, and position (of its first copy; null if not taken), in
+    order of position, rows that are not taken last. schedules: see curriculum()."""
+    docs = docs.select("doc_id", "text", "source")
+    d = taken(docs, weights, **how)
     first = F.when(F.col("__mix_copies") > 0, F.col("__mix_size")).otherwise(F.col("__mix_part"))
-    done = (F.col("__mix_start") + first / 2) / F.col("__mix_target")
     got = F.col("__mix_copies") * F.col("__mix_size") + F.col("__mix_part")
-    return d.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), got.alias("taken"), F.when(got > 0, F.least(F.lit(1.0), done)).alias("position"))
+    at = F.when(got > 0, placed(docs, F.col("__mix_start") + first / 2, schedules, weights))
+    d = d.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), got.alias("taken"), at.alias("position"))
+    by = F.col("position").asc_nulls_last(), F.col("doc_id")
+    return d.repartitionByRange(*by).sortWithinPartitions(*by)

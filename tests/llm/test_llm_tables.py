@@ -242,6 +242,48 @@ def test_mix_edges(spark):
     assert mixing.mix(d.limit(0)).count() == 0 and mixing.curriculum(d).count() == 0
 
 
+@pytest.mark.parametrize("schedules", [None, [[(0.0, 0.0), (0.5, 3.0), (1.0, 1.0)], [(0.0, 2.0), (1.0, 0.0)]]])
+def test_positions_against_brute_force(spark, schedules):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 50, 400])), rng.choice(["b", "a", "é", None, "c", "a"])) for i in range(200)] + [(900, " ", "B"), (901, None, "B")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    names = ["B", "a", "b", "c", "é", None]  # B has no words and demands nothing
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    shapes = [[(0, 1.5), (1, 0.5)], [(0, 1), (1, 1)], [(0, 0.5), (1, 1.5)]]
+    knots = {s: [(t, weight[s] * x) for t, x in shapes[i % 3]] if schedules is None else schedules[i % 2] for i, s in enumerate(names)}
+    t = np.linspace(0, 1, 200_001)
+    at = {s: np.interp(t, *zip(*knots[s], strict=True)) for s in names[1:]}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        share = {s: np.nan_to_num(at[s] / sum(at.values())) for s in at}
+    total = {s: np.concatenate([[0], np.cumsum((x[1:] + x[:-1]) / 2)]) for s, x in share.items()}
+    size = {s: sum(len((r[1] or "").split()) for r in rows if r[2] == s) for s in names}
+    target = dict(zip(names, filled([size[s] for s in names], [weight[s] for s in names]), strict=True))
+    key = {r.doc_id: r.k for r in d.select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("k")).collect()}
+    first, every = {}, {}
+    for s in names[1:]:
+        whole, before = int(target[s] / size[s] + 1e-12), 0
+        rest = round(target[s] - whole * size[s])
+        for i, text, _ in sorted((r for r in rows if r[2] == s), key=lambda r: key[r[0]]):
+            n = len(text.split())
+            part = min(n, max(0, rest - before))
+            used = [n] * whole + [part] * (part > 0)
+            for copy, u in enumerate(used):
+                done = min(1.0, (copy * size[s] + before + u / 2) / target[s])
+                every[i, copy + 1] = float(np.interp(done * total[s][-1], total[s], t))
+            first[i] = every.get((i, 1))
+            before += n
+    how = {} if schedules is None else {"schedules": schedules}
+    mixed, copies = mixing.mix(d, **how).collect(), mixing.curriculum(d, **how).collect()
+    got = {r.doc_id: r.position for r in mixed}
+    assert len(mixed) == len(rows) and {i for i in got if got[i] is None} == {i for i in got if first.get(i) is None}
+    assert all(abs(got[i] - x) < 2e-3 for i, x in first.items() if x is not None)
+    assert {(r.doc_id, r["__mix_copy"]) for r in copies} == set(every)
+    assert all(abs(r["__mix_position"] - every[r.doc_id, r["__mix_copy"]]) < 2e-3 for r in copies)
+    for places in ([r.position for r in mixed if r.position is not None], [r["__mix_position"] for r in copies]):
+        assert places == sorted(places)
+    assert all(r.position is None for r in mixed[-sum(x is None for x in got.values()) :])
+
+
 def test_schedules(spark):
     rising, falling = [(0.0, 0.0), (1.0, 1.0)], [(0.0, 1.0), (1.0, 0.0)]
     curve = mixing.demand(rising, [falling], 200)
