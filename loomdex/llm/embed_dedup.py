@@ -8,9 +8,9 @@ from above, and pairs that cannot reach the threshold stop there. Pairs that are
 original vectors in double precision, so links are exact. A pair of blocks returns link counts and a spanning forest of its
 links, never the pairs themselves.
 
-Null vectors, vectors with null or non-finite components, zero and empty vectors, and vectors whose length is not the most
-common one (of equally common lengths the greater) link with nothing: n_links 0, component_id = vec_id, kept. Repeated rows count as vectors of their own, as equal vectors
-do. A null vec_id gives n_links 0, a null component and kept false. An empty table gives no rows. Other columns are not read.
+Vectors of each length are compared among themselves; vectors of different lengths have no cosine and do not link. Null
+vectors, vectors with null or non-finite components, and zero and empty vectors link with nothing: n_links 0, component_id =
+vec_id, kept. Repeated rows count as vectors of their own, as equal vectors do. A null vec_id gives n_links 0, a null component and kept false. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ THRESHOLD = 0.95
 BLOCK = 4096
 #: Leading axes that make the grid.
 GRID_AXES = 2
+#: Different lengths beyond so many are an error: each has axes and tiles of its own.
+MOST_LENGTHS = 64
 #: Share of pairs left above which a stretch of a tile goes on by matrix product.
 DENSE = 0.02
 
@@ -172,17 +174,17 @@ def deduplicate(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False)) & F.col("vec_id").isNotNull())
-    lengths = v.where("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not lengths:
-        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    dims = lengths[0]["d"]
-    usable = F.col("fine") & (F.size("v") == dims)
-    good, bad = v.where(usable).select("vec_id", "v"), v.where(~usable)
-    classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    counts, edges = links(classes.select("rep", "size", "v"), dims, threshold, block)
-    parts = components(edges)
-    known = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = good.join(known, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    alone = bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    return out.unionByName(alone)
+    lengths = sorted(r["d"] for r in v.where("fine").select(F.size("v").alias("d")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    out = v.where(~F.col("fine")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for dims in lengths:
+        good = v.where(F.col("fine") & (F.size("v") == dims)).select("vec_id", "v")
+        classes = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
+        counts, edges = links(classes.select("rep", "size", "v"), dims, threshold, block)
+        parts = components(edges)
+        known = classes.join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        known = known.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        linked = good.join(known, "v").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+        out = linked.unionByName(out)
+    return out

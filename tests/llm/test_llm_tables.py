@@ -83,6 +83,32 @@ def test_embeddings_against_brute_force(spark, dims, block):
         assert (r.n_links, r.component_id, r.kept) == (0, r.vec_id, True)
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    groups = []
+    for dims, n in ((6, 60), (4, 40), (9, 1), (2, 2)):
+        x = rng.standard_normal((n, dims))
+        x[n // 2 :] = x[: n - n // 2] + 0.05 * rng.standard_normal((n - n // 2, dims))
+        groups.append(np.concatenate([x, x[:1]]))
+    d, start, want = None, 0, {}
+    for x in groups:
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        near = u @ u.T >= 0.95
+        label = np.arange(len(x))
+        for _ in range(len(x)):
+            label = np.where(near, label[None, :], len(x)).min(1)
+        want |= {start + i: (int(near[i].sum()) - 1, start + int(label[i])) for i in range(len(x))}
+        rows = [(start + i, [float(c) for c in v]) for i, v in enumerate(x)]
+        part = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        d, start = part if d is None else d.union(part), start + len(x)
+    got = embed_dedup.deduplicate(d.repartition(3), block=20).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want and len(got) == len(want)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    monkeypatch.setattr(embed_dedup, "MOST_LENGTHS", 3)
+    with pytest.raises(ValueError):
+        embed_dedup.deduplicate(d)
+
+
 def test_embedding_edges(spark):
     d = vectors(spark, [[1.0, 2.0], [2.0, 4.0]]).unionByName(vectors(spark, [[1.0, 2.0]])).union(spark.createDataFrame([(None, [1.0, 2.0], 0)], "vec_id long, embedding array<double>, size int"))
     got = sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.kept) for r in embed_dedup.deduplicate(d).collect())
