@@ -5,7 +5,7 @@ interval that ends where the pattern's next entry begins. A pattern is a host, a
 path segments. A capture (url, day) meets, by an as-of join, the intervals of every pattern that its URL falls under and
 that hold its day; the longest pattern decides.
 
-Of entries for one pattern and day "block" wins. Null patterns, days and actions are ignored, repeated entries and captures
+Hosts are compared in lower case, path segments as they are. Of entries for one pattern and day "block" wins. Null patterns, days and actions are ignored, repeated entries and captures
 change nothing. A null URL or day, or one that falls under nothing, is not blocked and has no entry. Intervals are dealt out
 by pattern and month, so a capture meets only the few intervals of its own month. Verdicts are found once per distinct
 (url, day). Other columns are carried along by verdicts().
@@ -42,7 +42,8 @@ def month(day: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, action, since, until): until is exclusive, null if nothing follows."""
-    e = entries.select(F.lower("pattern").alias("pattern"), F.to_date("effective").alias("since"), F.lower("action").alias("action")).where("pattern is not null and since is not null and action in ('block', 'allow')")
+    name = F.substring_index("pattern", "/", 1)
+    e = entries.select(F.concat(F.lower(name), F.substring(F.col("pattern"), F.length(name) + 1, F.length("pattern"))).alias("pattern"), F.to_date("effective").alias("since"), F.lower("action").alias("action")).where("pattern is not null and since is not null and action in ('block', 'allow')")
     e = e.groupBy("pattern", "since").agg(F.max("action").alias("action"))
     return e.withColumn("until", F.lead("since").over(Window.partitionBy("pattern").orderBy("since")))
 

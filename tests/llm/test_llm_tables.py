@@ -381,6 +381,16 @@ def test_dated_lists(spark):
         assert (r.blocked, r.entry, r.entry_since) == ((best[2] == "block", best[1], best[3]) if best else (False, None, None)), u
 
 
+def test_dated_lists_keep_the_case_of_paths(spark):
+    entries = [("X.net/Docs", "2024-01-01", "block"), ("X.net/Docs", "2024-02-01", "allow"), ("x.net/Docs", "2024-03-01", "BLOCK"), ("X.NET/docs/A", "2024-01-01", "block")]
+    e = spark.createDataFrame(entries, "pattern string, effective string, action string")
+    asked = [("http://x.NET/Docs/q", 1, True), ("http://x.net/Docs", 2, False), ("http://x.net/Docs", 3, True), ("http://x.net/docs/A", 1, True), ("http://x.net/docs/a", 1, False), ("http://x.net/docs", 3, False)]
+    c = spark.createDataFrame([(i, u, date(2024, m, 15)) for i, (u, m, _) in enumerate(asked)], "page_id long, url string, day date")
+    got = {r.page_id: (r.blocked, r.entry) for r in urlfilter.verdicts(c, e).collect()}
+    assert [got[i][0] for i in range(len(asked))] == [b for *_, b in asked]
+    assert got[0][1] == got[1][1] == got[2][1] == "x.net/Docs" and got[3][1] == "x.net/docs/A" and got[4][1] is None
+
+
 def test_dated_list_edges(spark):
     c = spark.createDataFrame([], "page_id long, url string, day date")
     e = spark.createDataFrame([("x.net", "2024-01-01", "block")], "pattern string, effective string, action string")
