@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: Bytes of an Arrow batch at most, unless a single row is longer.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Batches to Python workers of this session hold BATCH_BYTES at most from now on; a smaller setting stays. Texts vary
+    by orders of magnitude, so a bound on rows alone says nothing about a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key).rstrip("b")
+    if not (before.isdigit() and 0 < int(before) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Free memory goes back to the system. Workers serve many tasks, and others share the executor with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of mapInPandas or of an iterator's pandas UDF, giving memory back at the end of its task."""
+
+    def tidied(frames: Iterator) -> Iterator:
+        try:
+            yield from run(frames)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, root) that connect what edges a-b connect, root being the least node of each tree."""
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)

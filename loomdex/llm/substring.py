@@ -7,8 +7,8 @@ First pass: every task counts its windows in a count-min sketch of two rows with
 sparse; the sketches of all tasks are merged by ranges of slots, in as many tasks as there are ranges. Estimates are
 never too low, so a window estimated at one occurrence occurs once. Second pass: only windows estimated repeated are
 grouped, exactly. Where several documents of one task share a window, all but the one with the least doc_id are settled
-there, and one record per window and task is shuffled, so that a window of a third of all documents sends a record per
-task and not one per document. What is settled travels as runs of positions.
+there, and one record per window and task is shuffled, with all its positions in that document, so that a window of a
+third of all documents, or of a third of one text, sends a record per task. What is settled travels as runs of positions.
 
 The merged sketch has a fixed largest size, 2 * 2^most_bits bits (64 MB by default), whatever the corpus; it is the only
 thing broadcast. Beyond about 2^most_bits windows it passes more of them on, and results stay the same.
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.shared import written
+from loomdex.llm.shared import bounded, give_back, tidy, written
 from loomdex.llm.words import mix, windows, word_hashes
 
 WINDOW = 13
@@ -122,12 +122,17 @@ def sketch(docs: DataFrame, bits: int, k: int = WINDOW) -> bytes:
         if shard is not None:
             yield pd.DataFrame({"shard": [shard], "bitmap": [np.packbits(many, bitorder="little").tobytes()]})
 
-    parts = docs.mapInPandas(count, "shard int, once binary, many binary")
-    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, bitmap binary")
-    out = bytearray(ROWS << (bits - 3))
-    size = (1 << width) // 8
-    for r in merged.toLocalIterator():
-        out[r["shard"] * size : (r["shard"] + 1) * size] = r["bitmap"]
+    parts = docs.mapInPandas(tidy(count), "shard int, once binary, many binary")
+    merged = parts.repartition("shard").sortWithinPartitions("shard").mapInPandas(tidy(merge), "shard int, bitmap binary")
+    return _bitmap(written(merged, "sketch"), ROWS << shard_bits, (1 << width) // 8)
+
+
+def _bitmap(shards: DataFrame, count: int, size: int) -> bytes:
+    """The bitmaps of so many shards of so many bytes, one after another; some are fetched at a time."""
+    out, step = bytearray(count * size), max(1, (16 << 20) // size)
+    for at in range(0, count, step):
+        for r in shards.where(F.col("shard").between(at, at + step - 1)).collect():
+            out[r["shard"] * size : (r["shard"] + 1) * size] = r["bitmap"]
     return bytes(out)
 
 
@@ -154,11 +159,16 @@ def repeated(docs: DataFrame, k: int = WINDOW, most_bits: int = MOST_BITS) -> Da
         h, x, doc, at = h[order], x[order], doc[order], at[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
-        least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        open_, rest = doc == least, doc != least
-        yield pd.DataFrame({"h": h[open_].view(np.int64), "x": x[open_].astype(np.int64) << 32 | at[open_], "doc_id": doc[open_], "n": np.zeros(int(open_.sum()), np.int32)})
-        d, start, n = runs(doc[rest], at[rest])
-        yield pd.DataFrame({"h": mix(d.view(np.uint64)).view(np.int64), "x": start, "doc_id": d, "n": n.astype(np.int32)})
+        begins = np.flatnonzero(new)
+        open_ = doc == doc[begins][np.cumsum(new) - 1]
+        d, start, n = runs(doc[~open_], at[~open_])
+        yield pd.DataFrame({"h": mix(d.view(np.uint64)).view(np.int64), "x": start, "doc_id": d, "n": n.astype(np.int32), "more": None})
+        # a window's places in its least document, the first in x and the others, which are few, in more
+        counts = np.add.reduceat(open_.astype(np.int64), begins)
+        more = np.full(len(begins), None, object)
+        for i in np.flatnonzero(counts > 1).tolist():
+            more[i] = at[begins[i] + 1 : begins[i] + counts[i]].astype("<i4").tobytes()
+        yield pd.DataFrame({"h": h[begins].view(np.int64), "x": x[begins].astype(np.int64) << 32 | at[begins], "doc_id": doc[begins], "n": np.zeros(len(begins), np.int32), "more": more})
 
     def candidates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap = np.frombuffer(sent.value, np.uint8)
@@ -186,9 +196,9 @@ def repeated(docs: DataFrame, k: int = WINDOW, most_bits: int = MOST_BITS) -> Da
             if not len(pdf):
                 continue
             h, xs, doc = pdf["h"].to_numpy(), pdf["x"].to_numpy(), pdf["doc_id"].to_numpy()
-            x, at = xs >> 32, xs & 0xFFFFFFFF
+            x, at, more = xs >> 32, xs & 0xFFFFFFFF, pdf["more"].to_numpy()
             order = np.lexsort((doc, x, h))
-            h, x, doc, at = h[order], x[order], doc[order], at[order]
+            h, x, doc, at, more = h[order], x[order], doc[order], at[order], more[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (x[1:] != x[:-1])
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -198,13 +208,17 @@ def repeated(docs: DataFrame, k: int = WINDOW, most_bits: int = MOST_BITS) -> Da
             last = h[-1], x[-1], least[-1]
             again = doc > least
             if again.any():
-                d, start, m = runs(doc[again], at[again])
+                d, p, rest = doc[again], at[again], more[again]
+                others = [i for i, m in enumerate(rest) if m is not None]
+                extra = [np.frombuffer(rest[i], "<i4") for i in others]
+                d = np.concatenate([d, np.repeat(d[others], [len(e) for e in extra])]) if others else d
+                d, start, m = runs(d, np.concatenate([p, *extra]))
                 yield pd.DataFrame({"doc_id": d, "start": start, "n": m})
 
-    found = docs.mapInPandas(candidates, "h long, x long, doc_id long, n int")
+    found = docs.mapInPandas(tidy(candidates), "h long, x long, doc_id long, n int, more binary")
     # sorted by all 96 bits of a window and by doc_id, so the least comes first even where a window spans batches
     dealt = found.repartition("h").sortWithinPartitions("h", F.shiftright("x", 32), "doc_id")
-    return dealt.mapInPandas(settle, "doc_id long, start long, n int")
+    return dealt.mapInPandas(tidy(settle), "doc_id long, start long, n int")
 
 
 def runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,26 +257,22 @@ def doc_filter(ids: DataFrame, most_bits: int = MOST_BITS) -> tuple[bytes, int]:
         if shard is not None:
             yield pd.DataFrame({"shard": [shard], "bitmap": [np.packbits(there, bitorder="little").tobytes()]})
 
-    merged = ids.mapInPandas(emit, "shard int, slots binary").repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, bitmap binary")
-    out = bytearray(1 << (bits - 3))
-    size = (1 << width) // 8
-    for r in merged.toLocalIterator():
-        out[r["shard"] * size : (r["shard"] + 1) * size] = r["bitmap"]
-    return bytes(out), bits
+    merged = ids.mapInPandas(emit, "shard int, slots binary").repartition("shard").sortWithinPartitions("shard").mapInPandas(tidy(merge), "shard int, bitmap binary")
+    return _bitmap(written(merged, "doc-filter"), 1 << shard_bits, (1 << width) // 8), bits
 
 
-def removed_words(words: int, found: list, k: int) -> np.ndarray:
-    gone = np.zeros(words + 1, np.int32)
-    for start, n in found:
-        gone[min(start, words)] += 1
-        gone[min(start + n + k - 1, words)] -= 1
+def removed_words(words: int, found: np.ndarray, k: int) -> np.ndarray:
+    """found: runs of windows, first position * 2^32 + number."""
+    start, n = found >> 32, found & 0xFFFFFFFF
+    gone = np.bincount(np.minimum(start, words), minlength=words + 1) - np.bincount(np.minimum(start + n + k - 1, words), minlength=words + 1)
     return np.cumsum(gone)[:-1] > 0
 
 
 def deduplicate(docs: DataFrame, k: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
     """docs with __sub_text (kept words joined by one space), __sub_words and __sub_removed."""
+    bounded(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated(narrow, k, most_bits).groupBy(F.col("doc_id").alias("__sub_doc")).agg(F.collect_list(F.struct("start", "n")).alias("__sub_runs"))
+    found = repeated(narrow, k, most_bits).groupBy(F.col("doc_id").alias("__sub_doc")).agg(F.collect_list(F.shiftleft("start", 32) + F.col("n")).alias("__sub_runs"))
     found = written(found, "runs")
     bitmap, bits = doc_filter(found.select(F.col("__sub_doc").alias("doc_id")))
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -280,23 +290,29 @@ def deduplicate(docs: DataFrame, k: int = WINDOW, most_bits: int = MOST_BITS) ->
 
     @F.pandas_udf(part)
     def whole(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for ids, texts in frames:
-            rows = []
-            for other, text in zip(lookup(ids).tolist(), texts, strict=True):
-                parts = text.encode().split() if text and not other else []
-                rows.append((None, None, None) if other else (b" ".join(parts).decode(), len(parts), 0))
-            out = pd.DataFrame(rows, columns=["__sub_text", "__sub_words", "__sub_removed"])
-            yield out.astype({"__sub_words": "Int64", "__sub_removed": "Int64"})
+        try:
+            for ids, texts in frames:
+                rows = []
+                for other, text in zip(lookup(ids).tolist(), texts, strict=True):
+                    parts = text.encode().split() if text and not other else []
+                    rows.append((None, None, None) if other else (b" ".join(parts).decode(), len(parts), 0))
+                out = pd.DataFrame(rows, columns=["__sub_text", "__sub_words", "__sub_removed"])
+                yield out.astype({"__sub_words": "Int64", "__sub_removed": "Int64"})
+        finally:
+            give_back()
 
     @F.pandas_udf(part)
     def cut(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, spans in frames:
-            rows = []
-            for text, found in zip(texts, spans, strict=True):
-                parts = text.encode().split() if text else []
-                gone = removed_words(len(parts), [] if found is None else [(r["start"], r["n"]) for r in found], k)
-                rows.append((b" ".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g]).decode(), len(parts), int(gone.sum())))
-            yield pd.DataFrame(rows, columns=["__sub_text", "__sub_words", "__sub_removed"])
+        try:
+            for texts, spans in frames:
+                rows = []
+                for text, found in zip(texts, spans, strict=True):
+                    parts = text.encode().split() if text else []
+                    gone = removed_words(len(parts), np.zeros(0, np.int64) if found is None else np.asarray(found, np.int64), k)
+                    rows.append((b" ".join([p for p, g in zip(parts, gone.tolist(), strict=True) if not g]).decode(), len(parts), int(gone.sum())))
+                yield pd.DataFrame(rows, columns=["__sub_text", "__sub_words", "__sub_removed"])
+        finally:
+            give_back()
 
     # only texts that may lose words are shuffled; each stage has one Python step, so that few workers are up at a time
     narrow_id, words = F.col("doc_id").cast("long"), F.col("text").cast("string")
