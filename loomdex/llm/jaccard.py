@@ -6,8 +6,10 @@ min-hash values. A run starts with all sets in one node; a node samples on avera
 path, and sets that share a sampled value go on to a common child, so that a linked pair is expected to share at least one child at every level.
 The choice depends on the path alone, so a set finds its nodes of the next levels by itself, and only counts per node are
 shuffled. Nodes with few sets are compared by brute force, on their min-hash values; larger ones are split further, and what is
-still large at the greatest depth is taken as similar. That gives candidate groups, in which exact similarities are then
-computed from the texts for all pairs, by matrix products over tiles of bounded size, whatever the estimates said.
+still large at the greatest depth is taken as similar. Signatures are joined once per set, not once per node. That gives
+candidate groups, in which exact similarities are then computed from the texts, by matrix products over tiles of bounded
+size, whatever the estimates said. Only sets whose sizes allow the threshold meet in a tile: a group is split by classes of
+size, and a class meets itself and the next one.
 
 Runs are repeated until a pair of exactly the threshold's similarity meets in a node of the greatest depth with
 probability TARGET_RECALL; more similar pairs, and pairs that stop earlier, do better. See runs_for().
@@ -27,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.shared import components, cut, forest
+from loomdex.llm.shared import bounded, components, cut, forest, tidy
 from loomdex.llm.words import mix, windows, word_hashes
 
 WORDS = 5
@@ -39,7 +41,7 @@ DEPTHS = (3, 6)
 #: Sets in a node up to which it is compared by brute force.
 SMALL = 64
 #: Sets and shingles on each side of a tile.
-TILE, TILE_SHINGLES = 2048, 1_500_000
+TILE, TILE_SHINGLES = 2048, 1_000_000
 _RNG = np.random.default_rng(20200101)
 _A = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -93,8 +95,9 @@ def sets(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
+    bounded(docs.sparkSession)
     part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    return part.mapInPandas(run, "doc_id long, n long, d1 long, d2 long, sig binary")
+    return part.mapInPandas(tidy(run), "doc_id long, n long, d1 long, d2 long, sig binary")
 
 
 def children(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,20 +135,37 @@ def first_paths(reps: DataFrame, runs: int, depth: int) -> DataFrame:
                     p, r = children(p, r, sigs)
                 yield pd.DataFrame({"path": p.view(np.int64), "rep": part["rep"].to_numpy()[r]})
 
-    return reps.select("rep", "sig").mapInPandas(run, "path long, rep long")
+    return reps.select("rep", "sig").mapInPandas(tidy(run), "path long, rep long")
 
 
 def next_paths(nodes: DataFrame, levels: int) -> DataFrame:
-    """(path, rep) so many levels on. nodes: (path, rep, sig)."""
+    """(path, rep) so many levels on. nodes: (rep, sig, paths array<long>)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            p, r, sigs = pdf["path"].to_numpy().view(np.uint64), np.arange(len(pdf)), _sigs(pdf) if len(pdf) else None
-            for _ in range(levels if len(pdf) else 0):
-                p, r = children(p, r, sigs)
-            yield pd.DataFrame({"path": p.view(np.int64), "rep": pdf["rep"].to_numpy()[r]})
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                r = np.repeat(np.arange(len(part)), [len(x) for x in part["paths"]])
+                p, sigs = np.concatenate(part["paths"].tolist()).astype(np.int64).view(np.uint64), _sigs(part)
+                for _ in range(levels):
+                    p, r = children(p, r, sigs)
+                yield pd.DataFrame({"path": p.view(np.int64), "rep": part["rep"].to_numpy()[r]})
+
+    return nodes.select("rep", "sig", "paths").mapInPandas(tidy(run), "path long, rep long")
+
+
+def with_signatures(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, rep, sig) for members (node, rep): signatures come by one row per set, however many nodes it is in."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                n = [len(x) for x in part["nodes"]]
+                yield pd.DataFrame({"node": np.concatenate(part["nodes"].tolist()).astype(np.int64), "rep": np.repeat(part["rep"].to_numpy(), n), "sig": np.repeat(part["sig"].to_numpy(), n)})
 
-    return nodes.mapInPandas(run, "path long, rep long")
+    each = members.groupBy("rep").agg(F.collect_list("node").alias("nodes"))
+    return each.join(reps.select("rep", "sig"), "rep").select("rep", "sig", "nodes").mapInPandas(tidy(run), "node long, rep long, sig binary")
 
 
 def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,13 +205,14 @@ def candidates(reps: DataFrame, recall: float = TARGET_RECALL, depths: tuple[int
         lists = met.where(F.col("size") <= small).groupBy("path").agg(F.array_sort(F.collect_set("rep")).alias("members"))
         lists = lists.where(F.size("members") > 1).select("members").distinct()  # the same few meet in many runs
         members = lists.select(F.xxhash64("members").alias("node"), F.explode("members").alias("rep"))
-        shown = members.join(reps.select("rep", "sig"), "rep").repartition("node").sortWithinPartitions("node", "rep")
-        new = shown.mapInPandas(_similar, "a long, b long")
+        shown = with_signatures(members, reps).repartition("node").sortWithinPartitions("node", "rep")
+        new = shown.mapInPandas(tidy(_similar), "a long, b long")
         large = met.where(F.col("size") > small)
         if depth is None:
             new = new.union(large.select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a != b").distinct())
         else:
-            paths = next_paths(large.select("path", "rep").join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig"), depth - at)
+            each = large.groupBy("rep").agg(F.collect_list("path").alias("paths"))
+            paths = next_paths(each.join(reps.select("rep", "sig"), "rep"), depth - at)
             at = depth
         edges = new if edges is None else edges.union(new)
     return edges
@@ -201,14 +222,31 @@ def exact(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     """(rep, n_links) and (a, b): counts of documents linked to each representative, and edges that connect what links connect.
 
     members: (rep, size, n, component) of candidate groups; docs: (doc_id, text)."""
-    need = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-    blocks = members.groupBy("component").agg(need.alias("blocks"))
-    m = members.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # sizes of linked sets are less than 1 / threshold times each other, so that their classes are equal or adjoin
+    kind = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 / threshold)).cast("int")
+    need = lambda sets_, shingles: F.greatest(F.ceil(F.col(sets_) / TILE), F.ceil(F.col(shingles) / TILE_SHINGLES)).cast("int")
+    members = members.withColumn("kind", kind)
+    counted = members.groupBy("component", "kind").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    counted = counted.join(counted.groupBy("component").agg(F.sum("sets").alias("all"), F.sum("shingles").alias("all_shingles")), "component")
+    # what fits in one tile is not split by size
+    fits = need("all", "all_shingles") <= 1
+    split = counted.where(~fits).select("component", "kind", need("sets", "shingles").alias("blocks"))
+    beside = lambda by, name: split.select("component", (F.col("kind") + by).alias("kind"), F.col("blocks").alias(name))
+    several = split.join(beside(1, "lower"), ["component", "kind"], "left").join(beside(-1, "upper"), ["component", "kind"], "left")
+    several = several.select("component", "kind", F.col("kind").alias("at"), "blocks", F.coalesce("lower", F.lit(0)).alias("lower"), F.coalesce("upper", F.lit(0)).alias("upper"))
+    one = counted.where(fits).select("component", "kind", F.lit(0).alias("at"), F.lit(1).alias("blocks"), F.lit(0).alias("lower"), F.lit(0).alias("upper"))
+    m = members.join(several.union(one), ["component", "kind"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # tiles of a set: with each block of its own class, and with those of the classes beside; every pair of blocks has one
+    tile = lambda low, i, j, nth: F.struct(low.alias("kind"), i.alias("i"), j.alias("j"), nth.alias("own"))
+    every = lambda n, make: F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), make)
+    k, b = F.col("at"), F.col("block")
+    own = every(F.col("blocks"), lambda x: tile(2 * k, F.least(b, x), F.greatest(b, x), F.when(b <= x, 0).otherwise(1)))
+    above = every(F.col("upper"), lambda x: tile(2 * k + 1, b, x, F.lit(0)))
+    below = every(F.col("lower"), lambda x: tile(2 * k - 1, x, b, F.lit(1)))
     # the rep's own text: one row per doc_id
-    texts = docs.where("doc_id is not null").join(m.select(F.col("rep").alias("doc_id"), "component", "size", "blocks", "block"), "doc_id")
-    tile = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    texts = texts.withColumn("other", tile).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    dealt = texts.select("component", "i", "j", "doc_id", "size", "block", "text").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "doc_id")
+    texts = docs.where("doc_id is not null").join(m.select(F.col("rep").alias("doc_id"), "component", "size", F.concat(own, above, below).alias("tiles")), "doc_id")
+    dealt = texts.select("component", "doc_id", "size", "text", F.explode("tiles").alias("t")).select("component", "t.*", "doc_id", "size", "text")
+    dealt = dealt.repartition("component", "kind", "i", "j").sortWithinPartitions("component", "kind", "i", "j", "doc_id")
 
     def done(keys: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         ids = np.array([r[0] for r in rows], np.int64)
@@ -225,7 +263,9 @@ def exact(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
         often = np.bincount(column)[column] > 1
         column, row = column[often], row[often]
         column = np.cumsum(np.diff(column, prepend=-1) != 0) - 1
-        left, right = (np.flatnonzero(block == keys[1]), np.flatnonzero(block == keys[2])) if keys[1] != keys[2] else (np.arange(len(ids)),) * 2
+        # one block with itself, or two: of classes of size beside each other, or of the same
+        alone = keys[1] % 2 == 0 and keys[2] == keys[3]
+        left, right = (np.arange(len(ids)),) * 2 if alone else (np.flatnonzero(block == 0), np.flatnonzero(block == 1))
         counts, tree = np.zeros(len(ids), np.int64), (np.zeros(0, np.int64),) * 2
         width = int(max(64, min(2048, (8 << 20) // max(1, len(ids)))))
         shared = np.zeros((len(left), len(right)), np.float32)
@@ -241,7 +281,7 @@ def exact(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
             linked = part / (lengths[a][:, None] + lengths[right][None, :] - part.astype(np.float64)) >= threshold
             i, j = np.nonzero(linked)
             i, j = a[i], right[j]
-            if keys[1] == keys[2]:
+            if alone:
                 i, j = i[i < j], j[i < j]
             np.add.at(counts, i, sizes[j])
             np.add.at(counts, j, sizes[i])
@@ -254,18 +294,19 @@ def exact(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
         for pdf in frames:
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
-                for c, i, j, d, size, block, s in zip(part["component"], part["i"], part["j"], part["doc_id"], part["size"], part["block"], shingle_sets(part["text"].tolist()), strict=True):
-                    if (c, i, j) != key:
+                tiles = zip(part["component"], part["kind"], part["i"], part["j"], strict=True)
+                for tile_, d, size, side, s in zip(tiles, part["doc_id"], part["size"], part["own"], shingle_sets(part["text"].tolist()), strict=True):
+                    if tile_ != key:
                         if len(held) > 1:
                             yield from done(key, held)
-                        key, held, seen = (c, i, j), [], None
+                        key, held, seen = tile_, [], None
                     if d != seen:  # repeated rows
-                        held.append((d, size, block, s))
+                        held.append((d, size, side, s))
                         seen = d
         if len(held) > 1:
             yield from done(key, held)
 
-    found = cut(dealt.mapInPandas(run, "a long, b long, n long"))
+    found = cut(dealt.mapInPandas(tidy(run), "a long, b long, n long"))
     return found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links")), found.where("n = 0").select("a", "b")
 
 
