@@ -11,7 +11,7 @@ Rows with a null pair_id are left out; an empty table gives no pairs. Other colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ASSISTANT = "assistant"
@@ -69,31 +69,39 @@ def shown(spans: Column) -> Column:
 
 
 def swapped_replies(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chosen and rejected sides made from single conversations (conv_id, turn, role, text): each up to its last reply of the
-    assistant, and the same with that reply taken from the neighbour, conv_id xor 1; without such a neighbour the
-    rejected side ends before the reply. Conversations without a reply make no pair."""
-    c = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null")
-    last = c.where(F.col("role") == ASSISTANT).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
-    upto = c.join(last, "conv_id").where(F.col("turn") <= F.col("last.turn")).select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", F.col("last.turn").alias("end"))
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("last.text").alias("text"))
-    reply = last.select("conv_id", F.col("last.turn").alias("turn")).join(other, "conv_id").select(F.col("conv_id").alias("pair_id"), "turn", F.lit(ASSISTANT).alias("role"), "text")
-    before = upto.where("turn < end").select("pair_id", "turn", "role", "text")
-    return upto.drop("end"), before.union(reply)
+    """Chosen and rejected sides made from single conversations (conv_id, turn, role, text), for tables without pairs of answers.
+
+    The chosen side is the whole conversation. In the rejected side one reply of the assistant, number conv_id modulo the
+    number of replies, is the one chosen by the same rule in the neighbour, conv_id xor 1, and the turns after it follow
+    as they are; without such a neighbour the rejected side ends before that reply. Conversations without a reply make no
+    pair. Turns are numbered anew, in the order of turn, role and text with nulls first, so that no turn is lost."""
+    by_turn = Window.partitionBy("conv_id").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")])
+    c = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null").withColumn("n", F.row_number().over(by_turn))
+    replies = c.where(F.col("role") == ASSISTANT).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "text"))).alias("r"))
+    one = F.element_at("r", (F.pmod("conv_id", F.size("r")) + 1).cast("int"))
+    swap = replies.select("conv_id", one["n"].alias("at"), F.coalesce(one["text"], F.lit("")).alias("own"))
+    other = swap.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("own").alias("new"))
+    all_ = c.join(swap.join(other, "conv_id", "left").select("conv_id", "at", "new"), "conv_id")
+    side = lambda text: (F.col("conv_id").alias("pair_id"), F.col("n").alias("turn"), "role", text.alias("text"))
+    rejected = all_.where((F.col("n") < F.col("at")) | F.col("new").isNotNull())
+    return all_.select(*side(F.col("text"))), rejected.select(*side(F.when(F.col("n") == F.col("at"), F.col("new")).otherwise(F.col("text"))))
 
 
 SQL = """
-with l as (select conv_id, max(turn) as last from conversations where role = 'assistant' group by conv_id),
-r as (select c.conv_id, c.text, l.last from conversations c join l on c.conv_id = l.conv_id and c.turn = l.last and c.role = 'assistant'),
-p as (select r.conv_id, r.last, r.text as yes, o.text as no, o.conv_id is not null as other, coalesce(o.text = r.text, false) as same
-      from r left join r o on o.conv_id = xor(r.conv_id, 1)),
-b as (select p.conv_id, count(*) as n, string_agg('<|' || c.role || '|>' || chr(10) || c.text || '<|end|>' || chr(10), '' order by c.turn) as said
-      from p join conversations c on c.conv_id = p.conv_id and c.turn < p.last group by p.conv_id),
-f as (select *, '<|assistant|>' || chr(10) || yes || '<|end|>' || chr(10) as y, '<|assistant|>' || chr(10) || no || '<|end|>' || chr(10) as z from p)
-select f.conv_id as conv_id, cast(coalesce(b.n, 0) + case when same then 1 else 0 end as integer) as prompt_turns,
-  coalesce(b.said, '') || case when same then y else '' end as prompt,
-  case when same then '' else y end as chosen,
-  case when same then '' else '14-' || (21 + length(yes)) end as chosen_mask,
-  case when same or not other then '' else z end as rejected,
-  case when same or not other then '' else '14-' || (21 + length(no)) end as rejected_mask
-from f left join b on f.conv_id = b.conv_id
+with c as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, coalesce(role = 'assistant', false) as reply,
+           row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as n from conversations where conv_id is not null),
+r as (select *, row_number() over (partition by conv_id order by n) as k, count(*) over (partition by conv_id) as m from c where reply),
+s as (select conv_id, n as spot, text as own from r where k = 1 + ((conv_id % m) + m) % m),
+p as (select s.*, o.own as new, coalesce(o.own = s.own, false) as same from s left join s o on o.conv_id = xor(s.conv_id, 1)),
+t as (select c.conv_id, c.n, c.role, c.reply, p.spot, p.same, p.new, c.text as yes, case when c.n = p.spot then p.new else c.text end as no from c join p on c.conv_id = p.conv_id),
+u as (select *, '<|' || role || '|>' || chr(10) || yes || '<|end|>' || chr(10) as y, '<|' || role || '|>' || chr(10) || no || '<|end|>' || chr(10) as z from t),
+v as (select *, sum(length(y)) over (partition by conv_id order by n) - length(y) as y_at, sum(length(z)) over (partition by conv_id order by n) - length(z) as z_at
+      from u where n >= spot and not same)
+select p.conv_id, cast(case when p.same then (select count(*) from c where c.conv_id = p.conv_id) else p.spot - 1 end as integer) as prompt_turns,
+  coalesce((select string_agg(y, '' order by n) from u where u.conv_id = p.conv_id and (u.n < p.spot or p.same)), '') as prompt,
+  coalesce((select string_agg(y, '' order by n) from v where v.conv_id = p.conv_id), '') as chosen,
+  coalesce((select string_agg((y_at + 14) || '-' || (y_at + 21 + length(yes)), ',' order by n) from v where v.conv_id = p.conv_id and reply), '') as chosen_mask,
+  coalesce((select string_agg(z, '' order by n) from v where v.conv_id = p.conv_id and p.new is not null), '') as rejected,
+  coalesce((select string_agg((z_at + 14) || '-' || (z_at + 21 + length(no)), ',' order by n) from v where v.conv_id = p.conv_id and reply and p.new is not null), '') as rejected_mask
+from p
 """

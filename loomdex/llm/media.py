@@ -40,7 +40,7 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Where a URI or plain path leads; hdfs, s3 and gs need what pyarrow needs for them."""
+    """Where a URI or plain path of this machine leads; hdfs, s3 and gs need what pyarrow needs for them. Shared folders come as whole URIs."""
     scheme = urlparse(uri).scheme
     return (pafs.LocalFileSystem(), os.path.abspath(uri)) if not scheme else pafs.FileSystem.from_uri(uri)
 

@@ -2,35 +2,44 @@
 
 Entities are found by one pattern: e-mail addresses, IPv4 addresses, telephone and card numbers, social security numbers,
 IBANs, access keys, credentials after a name such as password or token, and persons after a title or with a listed given
-name. Each consists of parts (local part and domain; given name and surname) with a canonical form, and each distinct
+name. Card numbers need an issuer's first digits and a right check digit. Each consists of parts (local part and domain; given name and surname) with a canonical form, and each distinct
 part of the whole table gets one surrogate, derived from a keyed hash and of the same kind: the same length, case,
-separators and alphabet, a valid check digit where the original has one, a given name of the same gender and script. So what refers to
-one thing before does so afterwards, in every spelling and document. Surrogates that fall together with each other or
-with an original are found by grouping and drawn again until none is left, so different things stay different.
+separators and alphabet, a valid check digit where the original has one, a given name of the same gender and script. Those come
+from lists that share no name with the ones that persons are found by; when a list has no free name left, names are built of
+syllables with endings of that gender. So what refers to one thing before does so afterwards, in every spelling and document.
+Surrogates that fall together with each other or with an original are found by grouping and drawn again until none is left, so
+different things stay different; more than the stated number of rounds is an error. What is settled is not drawn again.
 
-Texts without entities do not take part in any shuffle and stay as they are. Null and empty texts stay as they are. Texts are
+The key is the caller's: whoever knows it can recompute surrogates of what he guesses. Texts without entities do not take part in any shuffle and stay as they are. Null and empty texts stay as they are. Texts are
 matched by digest, so repeated rows get equal results. Columns of the input are carried along; helper columns have names
 that start with ``__pii_``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.shared import cut
 
-#: Keyed hashes use it; production passes its own secret.
-KEY = "loomdex"
+#: Session setting that holds the key of registered queries; production sets its own secret.
+KEY_SETTING = "spark.loomdex.pii.key"
 TITLES_M = ("Mr", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Signor", "Господин", "Κύριος")
 TITLES_F = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Signora", "Госпожа", "Κυρία")
 TITLES_U = ("Dr", "Prof", "Доктор")
-LATIN_M = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Pierre", "Hans", "Carlos", "Miguel")
-LATIN_F = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Margaret", "Marie", "Greta", "Carmen", "Lucía")
-CYRILLIC_M = ("Иван", "Алексей", "Дмитрий", "Сергей", "Андрей", "Николай", "Павел", "Олег")
-CYRILLIC_F = ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана")
-GREEK_M = ("Γιώργος", "Δημήτρης", "Νίκος", "Κώστας")
-GREEK_F = ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία")
+LATIN_M = ("James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul", "Andrew", "Joshua", "Kenneth", "Kevin", "Brian", "George", "Edward", "Peter", "Pierre", "Jean", "Hans", "Klaus", "Carlos", "Miguel", "José", "Juan")
+LATIN_F = ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Jessica", "Sarah", "Karen", "Nancy", "Margaret", "Lisa", "Betty", "Sandra", "Ashley", "Emily", "Donna", "Michelle", "Laura", "Anna", "Helen", "Ruth", "Julia", "Marie", "Claire", "Greta", "Ingrid", "Carmen", "Lucía", "Ana", "Isabel")
+CYRILLIC_M = ("Иван", "Алексей", "Дмитрий", "Сергей", "Андрей", "Николай", "Павел", "Олег", "Михаил", "Владимир")
+CYRILLIC_F = ("Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана", "Юлия", "Вера")
+GREEK_M = ("Γιώργος", "Δημήτρης", "Νίκος", "Κώστας", "Γιάννης", "Παύλος")
+GREEK_F = ("Μαρία", "Ελένη", "Κατερίνα", "Σοφία", "Άννα", "Ειρήνη")
+#: Given names that surrogates are drawn from first; none is in the lists above.
+OTHER_LATIN_M = ("Alden", "Bastian", "Cedric", "Dorian", "Emil", "Fabian", "Gideon", "Hector", "Ivo", "Jasper", "Kilian", "Lorenz", "Magnus", "Nils", "Oskar", "Quentin", "Rufus", "Silas", "Tobias", "Ulrich", "Valentin", "Wendel", "Xaver", "Yannick")
+OTHER_LATIN_F = ("Adela", "Beatrix", "Cordelia", "Daphne", "Edith", "Flora", "Gisela", "Hedwig", "Ilse", "Jolanda", "Katja", "Leonie", "Mathilda", "Nadine", "Odette", "Petra", "Ramona", "Selma", "Thea", "Ursula", "Viola", "Wilma", "Xenia", "Yvette")
+OTHER_CYRILLIC_M = ("Борис", "Виктор", "Глеб", "Егор", "Захар", "Игнат", "Кирилл", "Лев", "Максим", "Роман")
+OTHER_CYRILLIC_F = ("Алла", "Валерия", "Галина", "Дарья", "Злата", "Зоя", "Кира", "Лариса", "Нина", "Раиса")
+OTHER_GREEK_M = ("Ανδρέας", "Βασίλης", "Ηλίας", "Θωμάς", "Λουκάς", "Στέφανος")
+OTHER_GREEK_F = ("Αγγελική", "Βασιλική", "Ζωή", "Θεοδώρα", "Ιωάννα", "Χριστίνα")
 #: Onsets and vowels that surnames are made of, by script.
 SYLLABLES = {"latin": ("bdfghjklmnprstvwz", "aeiou"), "cyrillic": ("бвгдзклмнпрстфх", "аеиоу"), "greek": ("βγδζκλμνπρστφχ", "αειου")}
 
@@ -38,7 +47,9 @@ _EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"
 _PHONE = r"(?<![\d+])(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)"
-_CARD = r"(?<![\d.-])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|3[47]\d{13})(?![\d-])"
+#: First four digits that issuers use for numbers of 16 digits.
+_ISSUER = r"(?:4\d{3}|5[1-5]\d{2}|2(?:22[1-9]|2[3-9]\d|[3-6]\d{2}|7[01]\d|720)|35(?:2[89]|[3-8]\d)|6(?:011|4[4-9]\d|5\d{2}))"
+_CARD = rf"(?<![\d.-])(?:{_ISSUER}(?:\d{{12}}| \d{{4}} \d{{4}} \d{{4}}|-\d{{4}}-\d{{4}}-\d{{4}})|3[47]\d{{13}})(?![\d-])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 _AWS = r"(?<![\p{L}\p{N}])A[KS]IA[0-9A-Z]{16}(?![\p{L}\p{N}])"
@@ -196,22 +207,26 @@ def surrogate(kind: Column, norm: Column, attempt: Column, noise: Column) -> Col
 
 
 def _name(kind: Column, attempt: Column, noise: Column) -> Column:
-    """A given name of the kind's gender and script from the lists, or a surname made of syllables; from the second attempt on with more syllables."""
+    """A given name of the kind's gender and script, from the lists at first and then of syllables, or a surname of syllables."""
     byte = lambda i: F.get(noise, F.lit(i))
     tail = {"latin": ("n", "n", "n"), "cyrillic": ("ов", "ова", "ко"), "greek": ("ς", "ς", "ς")}
-    names = {"latin": (LATIN_M, LATIN_F), "cyrillic": (CYRILLIC_M, CYRILLIC_F), "greek": (GREEK_M, GREEK_F)}
+    names = {"latin": (OTHER_LATIN_M, OTHER_LATIN_F), "cyrillic": (OTHER_CYRILLIC_M, OTHER_CYRILLIC_F), "greek": (OTHER_GREEK_M, OTHER_GREEK_F)}
+    endings = {"latin": (("n", "r", "s", "l"), ("na", "la", "ra", "lia")), "cyrillic": (("н", "р", "й", "л"), ("на", "ла", "ия", "ра")), "greek": (("νος", "ρης", "λας", "τος"), ("να", "ρια", "λη", "τη"))}
     out = F.lit(None).cast("string")
     for script, (m, f) in names.items():
         onset, vowel = SYLLABLES[script]
 
-        def syllables(start: int, onset: str = onset, vowel: str = vowel) -> Column:
-            pairs = F.slice(noise, F.lit(start), F.lit(6))
+        def syllables(start: int, count: int = 6, onset: str = onset, vowel: str = vowel) -> Column:
+            pairs = F.slice(noise, F.lit(start), F.lit(count))
             return F.array_join(F.transform(pairs, lambda b, i: F.when(i % 2 == 0, _pick(onset, b)).otherwise(_pick(vowel, b))), "")
 
         more = F.when(attempt >= 1, syllables(20)).otherwise("")
-        pool = F.when(kind.endswith("m"), F.array(*map(F.lit, m))).when(kind.endswith("f"), F.array(*map(F.lit, f))).otherwise(F.array(*map(F.lit, (*m, *f))))
+        gender = F.when(kind.endswith("m"), 0).when(kind.endswith("f"), 1).otherwise(byte(41) % 2)
+        one = lambda values: F.element_at(F.array(*map(F.lit, values)), byte(0) % len(values) + 1)
+        listed = F.lower(F.when(gender == 0, one(m)).otherwise(one(f)))
+        built = F.concat(syllables(20, 4), F.when(attempt >= 3, syllables(30)).otherwise(""), F.when(gender == 0, one(endings[script][0])).otherwise(one(endings[script][1])))
         end = F.when(kind.endswith(f"{script}m"), tail[script][0]).when(kind.endswith(f"{script}f"), tail[script][1]).otherwise(tail[script][2])
-        given = F.concat(F.lower(F.element_at(pool, byte(0) % F.size(pool) + 1)), more)
+        given = F.when(attempt == 0, listed).otherwise(built)
         out = F.when(kind.startswith(f"given_{script}"), given).when(kind.startswith(f"surname_{script}"), F.concat(syllables(3), more, end)).otherwise(out)
     return out
 
@@ -234,54 +249,64 @@ def written(kind: Column, shown: Column, canonical: Column) -> Column:
     return F.when(kind == "phone", spaced).when(kind.isin("card", "ssn", "iban"), filled).when(kind.isin("secret", "access_key", "ip"), canonical).otherwise(cased)
 
 
-def assign(things: DataFrame, key: str = KEY, rounds: int = 40) -> DataFrame:
-    """(kind, norm, canonical) for distinct (kind, norm): within a kind, no two are the same and none is an original."""
+def assign(things: DataFrame, key: str, rounds: int = 40) -> DataFrame:
+    """(kind, norm, canonical) for distinct (kind, norm): within a family of kinds, no two are the same and none is an original."""
     canon = F.when(F.col("kind") == "email", F.substring_index("norm", "@", 1)).otherwise(F.col("norm"))
     family = F.regexp_extract("kind", "^[a-z]+(?:_key)?", 0)
     base = cut(things.select("kind", "norm", family.alias("family"), canon.alias("canon")).distinct())
-    taken = base.select("family", F.col("canon").alias("canonical")).distinct().withColumn("real", F.lit(True))
-    state = base.withColumn("attempt", F.lit(0)).withColumn("settled", F.lit(False))
-    for _ in range(rounds):
-        noisy = state.withColumn("noise", noise_of(F.col("kind"), F.col("norm"), F.col("attempt"), key))
-        drawn = noisy.withColumn("canonical", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), F.col("noise"))).drop("noise")
-        drawn = cut(drawn)
-        # of those that coincide the one settled before, or else the first, stays
-        best = drawn.groupBy("family", "canonical").agg(F.min(F.struct(~F.col("settled"), F.col("kind"), F.col("norm"))).alias("best"))
-        best = best.join(taken, ["family", "canonical"], "left")
-        drawn = drawn.join(best, ["family", "canonical"]).withColumn("settled", (F.col("best.kind") == F.col("kind")) & (F.col("best.norm") == F.col("norm")) & F.col("real").isNull())
-        drawn = cut(drawn.select("kind", "norm", "family", "canon", "attempt", "settled", "canonical"))
-        if drawn.where("not settled").isEmpty():
-            return drawn.select("kind", "norm", "canonical")
-        state = drawn.drop("canonical").withColumn("attempt", F.when(F.col("settled"), F.col("attempt")).otherwise(F.col("attempt") + 1))
+    taken = base.select("family", F.col("canon").alias("canonical")).distinct()
+    # a number of its own: parts are short, but drawing for them is work that AQE must not put into one task
+    tasks = int(things.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo, held = base.select("kind", "norm", "family"), None
+    for n in range(rounds):
+        attempt = F.lit(n)
+        noisy = todo.repartition(tasks, "kind", "norm").withColumn("noise", noise_of(F.col("kind"), F.col("norm"), attempt, key))
+        drawn = cut(noisy.withColumn("canonical", surrogate(F.col("kind"), F.col("norm"), attempt, F.col("noise"))).drop("noise"))
+        # of those that coincide the first stays
+        best = drawn.groupBy("family", "canonical").agg(F.min(F.struct("kind", "norm")).alias("best")).join(taken, ["family", "canonical"], "left_anti")
+        best = best if held is None else best.join(held.select("family", "canonical"), ["family", "canonical"], "left_anti")
+        won = cut(best.select("best.kind", "best.norm", "family", "canonical"))
+        held = won if held is None else held.union(won)
+        todo = drawn.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti").select("kind", "norm", "family")
+        if todo.isEmpty():
+            return held.select("kind", "norm", "canonical")
     raise RuntimeError("surrogates still coincide: there are too few of some format")
 
 
-def replacements(raws: DataFrame, key: str = KEY) -> DataFrame:
-    """(raw, replacement) for distinct raw."""
-    split = cut(raws.select("raw", F.posexplode(parts(F.col("raw"))).alias("at", "part")).select("raw", "at", "part.*"))
+def fine(raw: Column) -> Column:
+    """Whether what matches the pattern is an entity: card numbers need a right check digit."""
+    return ~_is(raw, _CARD) | (luhn(F.regexp_replace(raw, r"\D", "")) == 0)
+
+
+def replacements(raws: DataFrame, key: str) -> DataFrame:
+    """(raw, replacement) for distinct raw that are entities."""
+    split = cut(raws.where(fine(F.col("raw"))).select("raw", F.posexplode(parts(F.col("raw"))).alias("at", "part")).select("raw", "at", "part.*"))
     known = assign(split.select("kind", "norm"), key)
     made = split.join(known, ["kind", "norm"]).select("raw", "at", F.concat("lead", written(F.col("kind"), F.col("shown"), F.col("canonical"))).alias("new"))
     return made.groupBy("raw").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]), "").alias("replacement"))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with surrogates in text_col, and __pii_count, the number of entities replaced."""
     text = F.col(text_col)
-    # has: matching stops at the first entity; all are extracted from texts that hold one only
+    # has: matching stops at the first entity; all are extracted from texts that hold one only, and once
     has = F.coalesce(hint(text) & text.rlike(PATTERN), F.lit(False))
-    some = docs.where(has).withColumns({"__pii_found": F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), "__pii_text": F.sha2(text.cast("binary"), 256)})
-    each = cut(some.select("__pii_text", F.explode(F.array_distinct("__pii_found")).alias("raw")).distinct())
-    new = replacements(each.select("raw").distinct(), key)
-    maps = each.join(new, "raw").groupBy("__pii_text").agg(F.map_from_entries(F.collect_list(F.struct("raw", "replacement"))).alias("__pii_map"))
-    joined = some.join(maps, "__pii_text")
+    some = cut(docs.where(has).withColumns({"__pii_found": F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), "__pii_text": F.sha2(text.cast("binary"), 256)}))
+    each = cut(some.select("__pii_text", "__pii_found").dropDuplicates(["__pii_text"]).select("__pii_text", F.posexplode("__pii_found").alias("at", "raw")))
+    # cut: with an exchange of its own on either side, AQE may split an entity that is in very many texts
+    new = cut(replacements(each.select("raw").distinct(), key))
+    named = each.join(new, "raw", "left").select("__pii_text", "at", F.coalesce("replacement", "raw").alias("new"), "replacement")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"])
+    lists = named.groupBy("__pii_text").agg(in_order.alias("__pii_new"), F.count("replacement").alias("__pii_count"))
+    joined = some.join(lists, "__pii_text")
     # regexp_extract_all and split see the same matches, so between any two pieces stands one entity
     pieces = F.split(text, PATTERN, -1)
-    filled = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.when(i < F.size("__pii_found"), F.element_at(F.col("__pii_map"), F.get(F.col("__pii_found"), i))).otherwise(""))), "")
-    done = joined.withColumn(text_col, filled).select(*docs.columns, F.size("__pii_found").cast("long").alias("__pii_count"))
+    filled = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("__pii_new"), i), F.lit("")))), "")
+    done = joined.withColumn(text_col, filled).select(*docs.columns, "__pii_count")
     return docs.where(~has).select(*docs.columns, F.lit(0).cast("long").alias("__pii_count")).unionByName(done)
 
 
-def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """docs, rows and columns as they are, with surrogates in text and n_chars, if it is there, to match."""
     out = pseudonymise(docs, key)
     if "n_chars" in docs.columns:
@@ -290,3 +315,6 @@ def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The secret in KEY_SETTING; where it is unset, a public one, which protects nobody: for tests and test tables."""
+    return spark.conf.get(KEY_SETTING, "public")

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark))
     return d.withColumnRenamed("__pii_count", "n_entities")
 
 

@@ -15,16 +15,29 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset (tests in local mode) a folder of this machine is set."""
+    """The folder of spark.checkpoint.dir, as a whole URI. Where it is unset (tests in local mode) a folder of this machine is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
-    return jsc.getCheckpointDir().get()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        jsc = spark.sparkContext._jsc.sc()
+        if jsc.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
+        root = jsc.getCheckpointDir().get()
+    fs, path = _filesystem(spark, root)
+    whole = fs.makeQualified(path).toString()
+    return f"file://{whole[5:]}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
+def _filesystem(spark: SparkSession, folder: str) -> tuple:
+    """Hadoop's file system of a folder, and its path: without a scheme it is the cluster's, as it is for Spark."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    fs, path = _filesystem(spark, folder)
+    fs.delete(path, True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
