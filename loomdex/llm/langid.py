@@ -1,8 +1,8 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of a text in stretches of SEGMENT bytes, forwards and backwards, labels every byte
-position with a probability per language, and the document's probabilities are the mean over its positions. It is
-trained here in numpy by backpropagation through time.
+The network reads the UTF-8 bytes of a text in stretches of SEGMENT bytes, forwards and backwards, each with up to CONTEXT
+bytes of the text before and after it, labels every byte position with a probability per language, and the document's
+probabilities are the mean over its positions. It is trained here in numpy by backpropagation through time.
 
 Training uses text and lang of a bounded sample: of each language at most PER_LANG documents whose crc32(doc_id) mod 5
 is not 0, those with the least keyed hash over the whole table, and of each a few stretches; shorter texts are a stretch
@@ -24,8 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.llm.shared import bounded, give_back, tidy
+
 #: Bytes read as one sequence, in training and in prediction.
 SEGMENT = 64
+#: Bytes on either side of a stretch that are read with it in prediction, so that no position lacks what stands next to it.
+CONTEXT = 16
 HIDDEN = 8
 PER_LANG = 400
 #: Languages beyond so many are an error: the sample is bounded by it.
@@ -93,33 +97,42 @@ def probabilities(model: Model, x: np.ndarray, counts: list[int]) -> Iterator[tu
             yield t, n, _softmax(model.out[:, :hidden] @ states[0][t, :, :n] + model.out[:, hidden:] @ states[1][t, :, :n] + model.bias)
 
 
-def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes, and of each stretch its begin, length and text, longest first."""
+def _segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, and of each stretch, longest first: begin and length with its context, text, and where its own positions
+    begin and end within it."""
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     base = np.cumsum(sizes) - sizes
     each = -(-sizes // SEGMENT)
     doc = np.repeat(np.arange(len(raw)), each)
-    k = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
-    begin = base[doc] + k * SEGMENT
-    length = np.minimum(SEGMENT, sizes[doc] - k * SEGMENT)
+    own = (np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)) * SEGMENT
+    begin = np.maximum(own - CONTEXT, 0)
+    length = np.minimum(own + SEGMENT + CONTEXT, sizes[doc]) - begin
+    first = own - begin
+    last = first + np.minimum(SEGMENT, sizes[doc] - own)
     order = np.argsort(-length, kind="stable")
-    return np.frombuffer(b"".join(raw) + bytes(SEGMENT), np.uint8), begin[order], length[order], doc[order]
+    return np.frombuffer(b"".join(raw) + bytes(SEGMENT + 2 * CONTEXT), np.uint8), (base[doc] + begin)[order], length[order], doc[order], first[order], last[order]
+
+
+def _positions(model: Model, segments: tuple) -> Iterator[tuple[slice, int, int, np.ndarray, np.ndarray]]:
+    """(stretches, position, how many of them reach it, which of those own it, probabilities (K, n)), some stretches at a time."""
+    data, begin, length, _, first, last = segments
+    for at in range(0, len(begin), WIDE):
+        part = slice(at, at + WIDE)
+        b, n = begin[part], length[part]
+        x = data[np.arange(n[0])[:, None] + b[None, :]]
+        counts = [int(np.searchsorted(-n, -t, side="left")) for t in range(n[0])]
+        for t, c, p in probabilities(model, x, counts):
+            yield part, t, c, (first[part][:c] <= t) & (t < last[part][:c]), p
 
 
 def pooled(model: Model, texts: list[str]) -> np.ndarray:
     """Mean probabilities of each text's positions, (texts, K); zeros for an empty text."""
     raw = [t.encode() for t in texts]
-    data, begin, length, doc = _segments(raw)
-    total = np.zeros((len(texts), len(model.langs)))
-    for at in range(0, len(doc), WIDE):
-        b, n, d = begin[at : at + WIDE], length[at : at + WIDE], doc[at : at + WIDE]
-        x = data[np.arange(n[0])[:, None] + b[None, :]]
-        counts = [int(np.searchsorted(-n, -t, side="left")) for t in range(n[0])]
-        sums = np.zeros((len(model.langs), len(b)))
-        for _, c, p in probabilities(model, x, counts):
-            sums[:, :c] += p
-        for k in range(len(model.langs)):
-            total[:, k] += np.bincount(d, sums[k], len(texts))
+    segments = _segments(raw)
+    sums = np.zeros((len(model.langs), len(segments[1])))
+    for part, _, c, own, p in _positions(model, segments):
+        sums[:, part.start : part.start + c] += p * own
+    total = np.stack([np.bincount(segments[3], s, len(texts)) for s in sums], 1)
     return total / np.maximum(1, [len(r) for r in raw])[:, None]
 
 
@@ -265,14 +278,18 @@ def _predictor(model: Model):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with __lang_pred and __lang_score."""
+    bounded(docs.sparkSession)
     run = _predictor(model)
     schema = "__lang_pred string, __lang_score double"
 
     @F.pandas_udf(schema)
     def label(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in frames:
-            langs, scores = run(texts)
-            yield pd.DataFrame({"__lang_pred": langs, "__lang_score": scores})
+        try:
+            for texts in frames:
+                langs, scores = run(texts)
+                yield pd.DataFrame({"__lang_pred": langs, "__lang_score": scores})
+        finally:
+            give_back()
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     d = docs.withColumn("__lang", label(F.when(letters, F.col("text")).otherwise(F.lit(""))))
@@ -301,14 +318,13 @@ def label_positions(docs: DataFrame, model: Model) -> DataFrame:
             for text in pdf["text"]:
                 raw = (text or "").encode()
                 labels = np.zeros(len(raw), np.int64)
-                data, begin, length, _ = _segments([raw])
-                if len(raw) and len(model.langs) > 1:
-                    x = data[np.arange(length[0])[:, None] + begin[None, :]]
-                    counts = [int(np.searchsorted(-length, -t, side="left")) for t in range(length[0])]
-                    for t, n, p in probabilities(model, x, counts):
-                        labels[begin[:n] + t] = p.argmax(0)
+                if len(model.langs) > 1:
+                    segments = _segments([raw])
+                    for part, t, c, mine, p in _positions(model, segments):
+                        labels[segments[1][part][:c][mine] + t] = p[:, mine].argmax(0)
                 cuts = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(raw)] if len(raw) and model.langs else [0]
                 out.append([{"start": a, "end": b, "lang": model.langs[labels[a]]} for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "runs": out})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, runs array<struct<start:long,end:long,lang:string>>")
+    bounded(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidy(run), "doc_id long, runs array<struct<start:long,end:long,lang:string>>")

@@ -25,10 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as pb
 
+from loomdex.llm.shared import bounded, tidy
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Distinct chunks in each of the two generations that a worker remembers.
-CACHE = 400_000
+#: Bytes that each of the two generations of chunks that a worker remembers takes, and the longest chunk remembered.
+CACHE_BYTES = 16 << 20
+LONGEST_CHUNK = 256
+#: What a remembered chunk takes besides its text and ids.
+ENTRY = 200
 
 
 class CharsMap:
@@ -85,6 +90,7 @@ class Piecer:
         self.chunk = re.compile(f"[ {SPACE}]*[^ {SPACE}]+|[ {SPACE}]+")
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.held = 0
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised UTF-8 and, for each of its bytes and its end, the source byte where its origin begins."""
@@ -130,27 +136,39 @@ class Piecer:
                 del align[len(align) - len(blank) :]
         return b"".join(parts), np.array([*align, end], np.int64)
 
-    def _learn(self, chunks: list[list[str]]) -> None:
-        """Ids, as text, of all these chunks are in self.young afterwards."""
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
+    def _learn(self, chunks: list[list[str]]) -> dict[str, str]:
+        """Ids, as text, of all these chunks. Short ones are remembered, as far as CACHE_BYTES go; text without blanks is one
+        long chunk, which is not worth keeping."""
+        if self.held > CACHE_BYTES:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        new, other = [], []
+        new, other, out = [], [], {}
         for c in set().union(*chunks) if chunks else ():
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                elif c and c[0] != " ":
-                    new.append(c)
-                else:
-                    other.append(c)
+            said = young.get(c)
+            if said is not None:
+                out[c] = said
+            elif (said := old.get(c)) is not None:
+                out[c] = said
+                self._keep(c, said)
+            elif c and c[0] != " ":
+                new.append(c)
+            else:
+                other.append(c)
         if new:
             ids = np.array(self.sp.encode(" ".join(new)), np.int64)
             said, cuts = list(map(str, ids.tolist())), [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
             for c, a, b in zip(new, cuts[:-1], cuts[1:], strict=True):
-                young[c] = ",".join(said[a:b])
+                out[c] = ",".join(said[a:b])
+                self._keep(c, out[c])
         for c in other:
-            young[c] = ",".join(map(str, self.sp.encode(c))) if c else str(self.sp.piece_to_id(SPACE))
+            out[c] = ",".join(map(str, self.sp.encode(c))) if c else str(self.sp.piece_to_id(SPACE))
+            self._keep(c, out[c])
+        return out
+
+    def _keep(self, chunk: str, said: str) -> None:
+        if len(chunk) <= LONGEST_CHUNK:
+            self.young[chunk] = said
+            self.held += len(chunk) + len(said) + ENTRY
 
     def _chunks(self, text: str) -> list[str]:
         """Each without its first blank, which the library puts before whatever it is given."""
@@ -167,9 +185,8 @@ class Piecer:
         out = []
         for at in range(0, len(texts), 64):
             chunks = [self._chunks(t) for t in texts[at : at + 64]]
-            self._learn(chunks)
-            young = self.young
-            out += [",".join([young[c] for c in x]) for x in chunks]
+            known = self._learn(chunks)
+            out += [",".join([known[c] for c in x]) for x in chunks]
         return out
 
     def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +237,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 ends.append(b)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "starts": starts, "ends": ends})
 
+    bounded(docs.sparkSession)
     spark_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return spark_docs.mapInPandas(run, "doc_id long, ids array<int>, starts array<long>, ends array<long>")
+    return spark_docs.mapInPandas(tidy(run), "doc_id long, ids array<int>, starts array<long>, ends array<long>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -254,5 +272,6 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
+    bounded(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return part.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean")
+    return part.mapInPandas(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_tile boolean")
