@@ -13,12 +13,15 @@ are carried along where stated; helper columns have names that start with ``__mi
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.llm.shared import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,16 +69,22 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return s.select("source", "source_size", "weight", "rank", target.alias("target"))
 
 
-def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 7, bucket_words: int = 1 << 20) -> DataFrame:
-    """docs with __mix_size, __mix_source_size, __mix_target, __mix_rank, __mix_copies (whole copies), __mix_part (words of one more, partial copy), __mix_start
-    (words of its source before its first copy, in the keyed order).
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, __mix_digest, __mix_size), a row per row of docs, kept in the shared folder: words are counted once,
+    and texts take no part in what follows."""
+    text = F.col("text")
+    return cut(docs.select("doc_id", "source", F.xxhash64(text).alias("__mix_digest"), words(text).alias("__mix_size")))
+
+
+def taken(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_EPOCHS, seed: int = 7, bucket_words: int = 1 << 20) -> DataFrame:
+    """rows_of() docs with __mix_source_size, __mix_target, __mix_rank, __mix_copies (whole copies), __mix_part (words of one
+    more, partial copy), __mix_start (words of its source before its first copy, in the keyed order).
 
     Every row gets floor(target / source_size) whole copies. For the rest, rows are put in a keyed order and taken whole
     while they fit; the row at the boundary is taken in part. Order and running sums come from two levels: sums of
     buckets of the key, then within buckets, so no source meets one task.
     """
-    at = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    d = docs.withColumns({"__mix_size": words(F.col("text")), "__mix_key": at, "__mix_source": F.col("source")})
+    d = rows.withColumns({"__mix_key": F.xxhash64(F.lit(seed), F.col("doc_id")), "__mix_source": F.col("source")})
     sizes = d.groupBy(F.col("__mix_source").alias("source")).agg(F.sum("__mix_size").alias("source_size"))
     t = targets(sizes, weights, most).withColumn("__mix_buckets", F.greatest(F.lit(1), (F.col("source_size") / bucket_words).cast("long")))
     t = t.select(F.col("source").alias("__mix_name"), F.col("source_size").alias("__mix_source_size"), F.col("target").alias("__mix_target"), F.col("rank").alias("__mix_rank"), "__mix_buckets")
@@ -87,7 +96,8 @@ def taken(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOS
     before = Window.partitionBy("__mix_source").orderBy("__mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("__mix_source").alias("__mix_s"), F.col("__mix_bucket").alias("__mix_b"), F.coalesce(F.sum("__mix_words").over(before), F.lit(0)).alias("__mix_before"))
     d = d.join(sums, F.col("__mix_source").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_bucket") == F.col("__mix_b"))).drop("__mix_s", "__mix_b")
-    within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # rows that are equal in all of these are interchangeable
+    within = Window.partitionBy("__mix_source", "__mix_bucket").orderBy("__mix_key", "doc_id", "__mix_digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("__mix_offset", F.col("__mix_before") + F.sum("__mix_size").over(within) - F.col("__mix_size"))
     epochs = F.floor(F.col("__mix_target") / F.col("__mix_source_size") + 1e-12)
     whole = F.when(F.col("__mix_source_size") > 0, epochs).otherwise(F.lit(0)).cast("long")
@@ -124,11 +134,15 @@ def demand(schedule: Schedule, others: Sequence[Schedule] = (), grid: int = GRID
 
 
 def inverse(progress: Column, curve: Sequence[float]) -> Column:
-    """Time at which this tabulated curve reaches progress."""
+    """Time at which this tabulated curve, which does not fall, reaches progress. A table by even steps of progress says between
+    which grid points to look, so that a row compares with a few of them only."""
     grid = len(curve) - 1
-    steps = F.array(*[F.lit(x) for x in curve])
-    # number of grid points at or below: the curve does not fall, so a filter counts them
-    k = F.least(F.greatest(F.size(F.filter(steps, lambda x: x <= progress)), F.lit(1)), F.lit(grid))
+    below = [bisect.bisect_right(curve, i / grid) for i in range(grid + 1)]
+    steps, least = F.array(*[F.lit(x) for x in curve]), F.array(*[F.lit(x) for x in below])
+    cell = F.least(F.floor(progress * grid), F.lit(grid - 1)).cast("int")
+    lo, hi = F.element_at(least, cell + 1), F.element_at(least, cell + 2)
+    among = F.slice(steps, lo + 1, hi - lo)
+    k = F.least(F.greatest(lo + F.size(F.filter(among, lambda x: x <= progress)), F.lit(1)), F.lit(grid))
     lo, hi = F.element_at(steps, k), F.element_at(steps, k + 1)
     inner = F.when(hi > lo, (progress - lo) / (hi - lo)).otherwise(F.lit(0.0))
     return (k - 1 + F.least(inner, F.lit(1.0))) / grid
@@ -144,11 +158,10 @@ def position(progress: Column, source: Column, schedules: Mapping[str, Schedule]
     return out
 
 
-def curves(docs: DataFrame, schedules: Sequence[Schedule], grid: int = GRID) -> dict[int, list[float]]:
+def curves(rows: DataFrame, schedules: Sequence[Schedule], grid: int = GRID) -> dict[int, list[float]]:
     """The demand curve of each schedule that sources with words have, by its place. All sources of one schedule have the
     same, so that only their number is needed: rows to the driver are as many as schedules."""
-    some = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    sources = docs.select("source", some.alias("some")).groupBy("source").agg(F.max("some").alias("some"))
+    sources = rows.groupBy("source").agg((F.max("__mix_size") > 0).alias("some"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # as in targets()
     ranked = sources.select("some", F.pmod(rank, F.lit(len(schedules))).alias("at"))
     counts = {r["at"]: r["count"] for r in ranked.where("some").groupBy("at").count().collect()}
@@ -156,14 +169,14 @@ def curves(docs: DataFrame, schedules: Sequence[Schedule], grid: int = GRID) ->
     return {at: demand(schedules[at], [times(o, n - (o == at)) for o, n in counts.items()], grid) for at in counts}
 
 
-def placed(docs: DataFrame, done: Column, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None, weights: Sequence[float]) -> Column:
+def placed(rows: DataFrame, done: Column, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None, weights: Sequence[float]) -> Column:
     """Training position of a copy in whose source this many words are done at its midpoint."""
     progress = F.least(F.lit(1.0), done / F.col("__mix_target"))
     if isinstance(schedules, Mapping):
         return position(progress, F.col("source"), schedules)
     each = schedules_of(weights) if schedules is None else schedules
     out = F.lit(None).cast("double")
-    for at, curve in curves(docs, each).items():
+    for at, curve in curves(rows, each).items():
         out = F.when(F.pmod("__mix_rank", F.lit(len(each))) == at, inverse(progress, curve)).otherwise(out)
     return out
 
@@ -171,14 +184,27 @@ def placed(docs: DataFrame, done: Column, schedules: Mapping[str, Schedule] | Se
 def curriculum(docs: DataFrame, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None = None, weights: Sequence[float] = WEIGHTS, **how: object) -> DataFrame:
     """One row per copy that the mix takes, in order of training: the columns of docs, with text cut after the last word
     that is taken, then __mix_position (0..1), __mix_copy and __mix_words. schedules: by name, or repeating, as weights do;
-    schedules_of(weights) if there are none."""
-    d = taken(docs, weights, **how)
+    schedules_of(weights) if there are none. What is taken is planned on narrow rows, which the texts join afterwards."""
+    rows = rows_of(docs)
+    d = taken(rows, weights, **how)
+    # rows of one doc_id, source and text are numbered, so that each joins one of its kind
+    same = ["__mix_id", "__mix_source", "__mix_digest"]
+    d = d.where((F.col("__mix_copies") > 0) | (F.col("__mix_part") > 0)).withColumns({"__mix_id": F.col("doc_id"), "__mix_source": F.col("source")})
+    plan = d.withColumn("__mix_nth", F.row_number().over(Window.partitionBy(*same).orderBy("__mix_start")))
+    plan = plan.select(*same, "__mix_nth", "source", *[c for c in d.columns if c.startswith("__mix_") and c not in same])
+    plan = plan.withColumnsRenamed({c: f"{c}_p" for c in [*same, "__mix_nth", "source"]})
+    texts = docs.withColumns({"__mix_id": F.col("doc_id"), "__mix_source": F.col("source"), "__mix_digest": F.xxhash64("text")})
+    texts = texts.withColumn("__mix_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(*docs.columns))))
+    on = F.col("__mix_nth") == F.col("__mix_nth_p")
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_p"))
+    d = texts.join(plan, on)
     epochs = F.col("__mix_copies") + (F.col("__mix_part") > 0).cast("long")
-    d = d.where(epochs > 0).withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), epochs.cast("int"))))
+    d = d.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), epochs.cast("int"))))
     partial = F.col("__mix_copy") > F.col("__mix_copies")
     used = F.when(partial, F.col("__mix_part")).otherwise(F.col("__mix_size"))
     done = (F.col("__mix_copy") - 1) * F.col("__mix_source_size") + F.col("__mix_start") + used / 2
-    d = d.withColumns({"__mix_words": used, "__mix_position": placed(docs, done, schedules, weights)})
+    d = d.withColumns({"__mix_words": used, "__mix_position": placed(rows, done, schedules, weights)})
     d = d.withColumn("text", F.when(partial, _first_words()).otherwise(F.col("text")))
     d = d.select(*docs.columns, "__mix_position", "__mix_copy", "__mix_words")
     return d.repartitionByRange(F.col("__mix_position"), F.col("doc_id")).sortWithinPartitions("__mix_position", "doc_id", "__mix_copy")
@@ -193,11 +219,11 @@ def _first_words() -> Column:
 def mix(docs: DataFrame, schedules: Mapping[str, Schedule] | Sequence[Schedule] | None = None, weights: Sequence[float] = WEIGHTS, **how: object) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target, taken, and position (of its first copy; null if not taken), in
     order of position, rows that are not taken last. schedules: see curriculum()."""
-    docs = docs.select("doc_id", "text", "source")
-    d = taken(docs, weights, **how)
+    rows = rows_of(docs)
+    d = taken(rows, weights, **how)
     first = F.when(F.col("__mix_copies") > 0, F.col("__mix_size")).otherwise(F.col("__mix_part"))
     got = F.col("__mix_copies") * F.col("__mix_size") + F.col("__mix_part")
-    at = F.when(got > 0, placed(docs, F.col("__mix_start") + first / 2, schedules, weights))
+    at = F.when(got > 0, placed(rows, F.col("__mix_start") + first / 2, schedules, weights))
     d = d.select("doc_id", F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"), F.col("__mix_target").alias("target"), got.alias("taken"), at.alias("position"))
     by = F.col("position").asc_nulls_last(), F.col("doc_id")
     return d.repartitionByRange(*by).sortWithinPartitions(*by)
