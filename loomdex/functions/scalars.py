@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,6 +89,24 @@ def binary(n: Column, size: int) -> Column:
     return F.right(F.lpad(F.bin(n), 64, "0"), F.lit(8 * size))
 
 
+#: strftime letters in the patterns of date_format().
+_STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%j": "DDD", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%p": "a", "%I": "hh"}
+
+
+def formatted(ts: Column, pattern: str) -> Column:
+    """A time by a pattern of strftime()."""
+    parts = re.findall("%[^%]|(?:%%|[^%])+|%$", pattern)
+    if any(p[0] == "%" and p[1:2] != "%" and p not in _STRFTIME for p in parts):
+        raise ValueError(f"cannot format times by {pattern!r}")
+    quoted = lambda p: "'" + p.replace("%%", "%").replace("'", "''") + "'"
+    return F.date_format(ts, "".join(_STRFTIME[p] if p in _STRFTIME else quoted(p) for p in parts))
+
+
+def now(pattern: str) -> Column:
+    """The current time, one for the whole query."""
+    return formatted(F.current_timestamp(), pattern)
+
+
 def yyyymmdd(ts: Column) -> Column:
     return F.date_format(ts, "yyyyMMdd").cast("int")
 

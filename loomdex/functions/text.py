@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomdex.functions import korean
+
 #: Words are runs of letters and digits.
 WORD = r"[\p{L}\p{N}]+"
-#: Longest word kept, in characters.
+#: Longest word kept, in bytes.
 MAX_WORD = 39
 
 
+def cut(word: Column, most: int = MAX_WORD) -> Column:
+    """The word's first bytes, at most so many; a character that is cut in two goes."""
+    raw = F.encode(word, "UTF-8")
+    inner = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")
+    # the character that the next byte belongs to begins up to three bytes before it
+    keep = F.when(~inner(most + 1), most).when(~inner(most), most - 1).when(~inner(most - 1), most - 2).otherwise(most - 3)
+    return F.when(F.octet_length(word) <= most, word).otherwise(F.substring(raw, F.lit(1), keep).cast("string"))
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
@@ -37,7 +48,10 @@ def concatenated(text: Column) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.array(joined))
 
 
-REGISTRY: dict[str, Callable[[Column], Column]] = {"word": words, "whitespace": whitespace, "bigram": bigrams, "concat": concatenated}
+REGISTRY: dict[str, Callable[[Column], Column]] = {
+    "word": words, "whitespace": whitespace, "bigram": bigrams, "concat": concatenated,
+    "morpheme": lambda t: korean.morphemes(words(t)), "noun": lambda t: korean.nouns(words(t)), "compound": lambda t: korean.nouns_and_parts(words(t)), "part": lambda t: korean.parts_of_nouns(words(t)),
+}
 
 
 def register(name: str, analyzer: Callable[[Column], Column]) -> None:

@@ -9,13 +9,14 @@ postings of the words asked for, and one grouping by document); what follows is
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions import stem as stemmer
 from loomdex.functions import text
+from loomdex.operators.index import lookup
 from loomdex.plans import dialect as d
 from loomdex.schema import Collection, Field
 
@@ -24,9 +25,13 @@ SHIFT = 1 << 40
 
 @dataclass(frozen=True)
 class Options:
-    """synonyms: word to other words, for SYN: operands. paragraph: pattern at which paragraphs end."""
+    """synonyms: word to other words, for SYN: operands. related: word to other words by kind of relation, for REL:. paragraph:
+    pattern at which paragraphs end. stems: words of the collection that have an operand's stem, by stem, for MORP:; search()
+    finds them where they are not given."""
 
     synonyms: Mapping[str, Iterable[str]] = field(default_factory=dict)
+    related: Mapping[str, Mapping[str, Iterable[str]]] = field(default_factory=dict)
+    stems: Mapping[str, Iterable[str]] = field(default_factory=dict)
     paragraph: str = r"\n"
 
 
@@ -34,6 +39,33 @@ def stem_word(word: str) -> str:
     return stemmer.stem(word.upper()).lower() if word.isascii() and word.isalpha() else word
 
 
+#: Words of one stem beyond so many are an error: they become part of the plan.
+MOST_FORMS = 10_000
+
+
+def number_range(word: str) -> tuple[int, int]:
+    """Bounds of a numeric operand: a number, or least~greatest, either of which may be missing."""
+    least, mark, greatest = word.partition("~")
+    try:
+        low = int(least) if least else 0
+        return low, (int(greatest) if greatest else 10**15 - 1) if mark else low
+    except ValueError:
+        raise d.DialectError(f"{word!r} is no number or range of numbers") from None
+
+
+def forms(docs: DataFrame, collection: Collection, stem: str) -> tuple[str, ...]:
+    """Distinct words of the indexed fields that have this stem. The stemmer changes at most the last two letters that a
+    stem shares with its words, so words that begin otherwise are ruled out before Python sees any."""
+    found = None
+    for f in collection.indexed:
+        words = docs.select(F.explode(text.words(F.col(f.name))).alias("word")).where(F.col("word").startswith(stem[: max(1, len(stem) - 2)]))
+        found = words if found is None else found.union(words)
+    got = [r["word"] for r in stemmer.stems(found).where(F.col("stem") == stem).select("word").limit(MOST_FORMS + 1).collect()]
+    if len(got) > MOST_FORMS:
+        raise ValueError(f"more than {MOST_FORMS} words have the stem {stem!r}")
+    return tuple(sorted(got))
+
+
 def _accepts(term: d.Term, options: Options) -> Callable[[Column], Column]:
     """Whether a word of a document is a hit of the operand."""
     w = term.word
@@ -46,9 +78,20 @@ def _accepts(term: d.Term, options: Options) -> Callable[[Column], Column]:
         return lambda x: F.length(x).between(len(w) - term.n, len(w) + term.n) & (F.levenshtein(x, F.lit(w), term.n) >= 0)
     if term.kind == "synonym":
         return lambda x: x.isin(w, *options.synonyms.get(w, ()))
+    if term.kind == "related":
+        return lambda x: x.isin(w, *_related(w, options))
+    if term.kind == "stem":
+        return lambda x: x.isin(*options.stems.get(w, ())) if options.stems.get(w) else F.lit(False)
+    if term.kind == "numeric":
+        low, high = number_range(w)
+        return lambda x: F.coalesce(F.when(x.rlike("^[0-9]{1,15}$"), x.cast("long")).between(low, high), F.lit(False))
     return lambda x: x == w
 
 
+def _related(word: str, options: Options) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(w for words in options.related.get(word, {}).values() for w in words))
+
+
 def _fields(scope: str | None, collection: Collection) -> tuple[Field, ...]:
     return tuple(f for f in collection.scope(scope) if f.indexed) if scope else collection.indexed
 
@@ -76,9 +119,9 @@ class Plan:
 
     def _operand(self, term: d.Term, scope: str | None, scored: bool = True) -> Column:
         name = f"__k{len(self.operands)}"
-        words = {"word": (term.word,), "synonym": (term.word, *self.options.synonyms.get(term.word, ()))}.get(term.kind)
-        analyzer = {"bigram": "bigram", "stem": "stem"}.get(term.kind)
-        term = d.Term(stem_word(term.word), "word", 0, term.fields, term.weight) if term.kind == "stem" else term
+        term = d.Term(stem_word(term.word), "stem", 0, term.fields, term.weight) if term.kind == "stem" else term
+        words = {"word": (term.word,), "synonym": (term.word, *self.options.synonyms.get(term.word, ())), "related": (term.word, *_related(term.word, self.options)), "stem": tuple(self.options.stems.get(term.word, ()))}.get(term.kind)
+        analyzer = "bigram" if term.kind == "bigram" else None
         self.operands.append(Operand(name, _fields(scope, self.collection), _accepts(term, self.options), words, term.weight, analyzer, scored))
         return F.col(name)
 
@@ -145,12 +188,8 @@ class Plan:
                 analyses[f.number, o.analyzer or f.analyzer] = f
         out = docs
         for (number, analyzer), f in analyses.items():
-            if analyzer == "stem":
-                continue
             words = F.coalesce(text.analyze(F.col(f.name), analyzer), F.array().cast("array<string>"))
             out = out.withColumn(f"__w{number}_{analyzer}", words)
-        if any(a == "stem" for _, a in analyses):
-            out = self._stems(docs, out, [(n, f) for (n, a), f in analyses.items() if a == "stem"])
         keys = {o.name: F.concat(*[_keys(F.col(f"__w{f.number}_{o.analyzer or f.analyzer}"), f.number, o.accepts) for f in o.fields]) for o in self.operands}
         for node, name in self.paragraphs:
             keys[name] = self._paragraph(node)
@@ -166,27 +205,10 @@ class Plan:
             out = out | x
         return out
 
-    def _stems(self, docs: DataFrame, out: DataFrame, fields: list[tuple[int, Field]]) -> DataFrame:
-        """Stemmed words of the fields. Distinct words are stemmed once; those that have an operand's stem form a small set per
-        stem, and hits of the set are hits of the stem."""
-        ids = self.collection.id_col
-        exploded = [docs.select(F.explode(text.words(F.col(f.name))).alias("word")) for _, f in fields]
-        words = exploded[0]
-        for e in exploded[1:]:
-            words = words.union(e)
-        lexicon = stemmer.stems(words)
-        for number, f in fields:
-            rows = docs.select(F.col(ids).alias("__id"), F.posexplode(text.words(F.col(f.name))).alias("pos", "word")).join(lexicon, "word")
-            ordered = F.sort_array(F.collect_list(F.struct("pos", "stem")))
-            back = rows.groupBy("__id").agg(F.transform(ordered, lambda x: x["stem"]).alias(f"__w{number}_stem"))
-            out = out.join(back, F.col(ids) == F.col("__id"), "left").drop("__id")
-            out = out.withColumn(f"__w{number}_stem", F.coalesce(f"__w{number}_stem", F.array().cast("array<string>")))
-        return out
-
     def index(self, found: DataFrame, universe: DataFrame | None = None) -> DataFrame:
         """(id, arrays) from postings (doc_id, field, pos, word): documents with a hit; with universe, all of its ids."""
         if self.paragraphs or any(o.analyzer for o in self.operands):
-            raise d.DialectError("PARA:, BIGRAM: and MORP: need the texts or postings of their own analyser")
+            raise d.DialectError("PARA: and BIGRAM: need the texts or postings of their own analyser")
         exact = sorted({w for o in self.operands if o.words for w in o.words})
         wanted = F.col("word").isin(*exact) if exact else F.lit(False)
         for o in self.operands:
@@ -214,19 +236,33 @@ def _keys(words: Column, number: int, accepts: Callable[[Column], Column]) -> Co
     return F.filter(at, lambda k: k.isNotNull())
 
 
+def with_stems(docs: DataFrame, tree: object, collection: Collection, options: Options | None) -> Options:
+    """options with the words of every MORP: operand's stem, looked up among the words of docs."""
+    options = options or Options()
+    asked = {stem_word(t.word) for t in d.leaves(tree) if isinstance(t, d.Term) and t.kind == "stem"} - set(options.stems)
+    return replace(options, stems={**options.stems, **{s: forms(docs, collection, s) for s in sorted(asked)}}) if asked else options
+
+
 def search(docs: DataFrame, source: str, collection: Collection, options: Options | None = None, postings: DataFrame | None = None) -> DataFrame:
-    """docs that match a text expression, with relevance. With postings, hits come from them and docs is joined by id."""
-    plan = Plan(d.parse_text(source), collection, options)
+    """docs that match a text expression, with relevance. With postings, hits come from them and docs is joined by id; of
+    postings in buckets, as index.write() leaves them, the buckets of the words are read if all operands name their words."""
+    tree = d.parse_text(source)
+    plan = Plan(tree, collection, with_stems(docs, tree, collection, options))
     if postings is None:
         found = plan.scan(docs)
         return found.withColumn("relevance", plan.relevance).where(plan.match).select(*docs.columns, "relevance")
+    if "bucket" in postings.columns and all(o.words is not None for o in plan.operands):
+        postings = lookup(postings, sorted({w for o in plan.operands for w in o.words}))
     found = plan.index(postings).withColumn("relevance", plan.relevance).where(plan.match).select(collection.id_col, "relevance")
+    if docs.columns == [collection.id_col]:
+        return found
     return docs.join(found, collection.id_col).select(*docs.columns, "relevance")
 
 
 def hits(docs: DataFrame, source: str, collection: Collection, options: Options | None = None) -> DataFrame:
     """(id, field, pos, operand): where the operands of an expression hit, of documents that match it."""
-    plan = Plan(d.parse_text(source), collection, options)
+    tree = d.parse_text(source)
+    plan = Plan(tree, collection, with_stems(docs, tree, collection, options))
     found = plan.scan(docs).where(plan.match)
     each = F.array(*[F.struct(F.lit(i).alias("operand"), F.col(o.name).alias("keys")) for i, o in enumerate(plan.operands)])
     rows = found.select(collection.id_col, F.explode(each).alias("o")).select(collection.id_col, F.col("o.operand").alias("operand"), F.explode("o.keys").alias("key"))

@@ -9,12 +9,25 @@ from pyspark.sql import functions as F
 def latest(versions: DataFrame, key: str, version: str) -> DataFrame:
     """The row of each key with the greatest version, and the version before it as old_version (null for the first).
 
-    Aggregates combine before the shuffle, so a key with very many versions does not meet one task."""
-    value = F.struct(version, *[c for c in versions.columns if c not in (key, version)])
-    best = versions.groupBy(key).agg(F.max(value).alias("v"), F.count("*").alias("versions"))
-    older = versions.join(best.select(key, F.col(f"v.{version}").alias("__newest")), key).where(F.col(version) < F.col("__newest"))
-    older = older.groupBy(key).agg(F.max(version).alias("old_version"))
-    return best.join(older, key, "left").select(key, "v.*", "versions", "old_version")
+    Spark keeps two rows per key and task before the shuffle, and counts combine before theirs, so a key with very many
+    versions does not meet one task."""
+    columns = [c for c in versions.columns if c not in (key, version)]
+    by = Window.partitionBy(key).orderBy(F.desc(version), *[F.desc(c) for c in columns])
+    two = versions.withColumn("__r", F.row_number().over(by)).where("__r <= 2")
+    best = two.groupBy(key).agg(F.max(F.when(F.col("__r") == 1, F.struct(version, *columns))).alias("v"), F.max(F.when(F.col("__r") == 2, F.col(version))).alias("old_version"))
+    return best.join(versions.groupBy(key).agg(F.count("*").alias("versions")), key).select(key, "v.*", "versions", "old_version")
+
+
+#: Limits of packed documents: number of fields, and characters of a name.
+PACKED_FIELDS, PACKED_NAME = 50, 19
+
+
+def packed(fields: Column) -> Column:
+    """Map of a document's fields from array<struct<name, value>>: the first PACKED_FIELDS, names cut to PACKED_NAME characters; of
+    equal names the first counts. Fields without a name are left out."""
+    cut = F.transform(F.slice(F.filter(fields, lambda f: f["name"].isNotNull()), 1, PACKED_FIELDS), lambda f: F.struct(F.substring(f["name"], 1, PACKED_NAME).alias("name"), f["value"].alias("value")))
+    names = F.transform(cut, lambda f: f["name"])
+    return F.map_from_entries(F.filter(cut, lambda f, i: F.array_position(names, f["name"]) == i + 1))
 
 
 def delete(docs: DataFrame, gone: DataFrame, on: str) -> DataFrame:

@@ -25,7 +25,7 @@ class Engine:
 
     def found(self, statement: d.Statement) -> DataFrame:
         """Ids, attributes and relevance of all documents that match text and condition."""
-        plan = s.Plan(statement.text, self.collection, self.options)
+        plan = s.Plan(statement.text, self.collection, s.with_stems(self.docs, statement.text, self.collection, self.options))
         attributes = [c for c in self.docs.columns if c not in {f.name for f in self.collection.fields}]
         if self.postings is None:
             rows = self.docs if statement.where is None else self.docs.where(w.column(statement.where, self.collection.enums))
@@ -54,7 +54,12 @@ class Engine:
         return rows.where((F.col("rank") > group.member_limit.offset) & (F.col("rank") <= group.member_limit.offset + group.member_limit.count))
 
     def groups(self, rows: DataFrame, group: d.Group) -> DataFrame:
-        """Virtual documents: attr, relevance (the greatest of its members), size, and members in order."""
+        """Virtual documents: attr, relevance (the greatest of its members), size, and members in order, as far as the statement
+        limits them: without a member limit none are listed, as a group may hold any number; members() has them as rows."""
+        if group.member_limit is None:
+            rows = rows if group.where is None else rows.where(w.column(group.where, self.collection.enums))
+            none = F.array().cast(f"array<struct<rank:int,{self.collection.id_col}:bigint,relevance:double>>")
+            return rows.groupBy(group.attr).agg(F.max("relevance").alias("relevance"), F.count("*").alias("size")).withColumn("docs", none)
         kept = self.members(rows, group)
         each = F.struct("rank", self.collection.id_col, "relevance")
         return kept.groupBy(group.attr).agg(F.max("relevance").alias("relevance"), F.count("*").alias("size"), F.sort_array(F.collect_list(each)).alias("docs"))
@@ -79,6 +84,13 @@ class Engine:
                 rows = rows.orderBy(*self._keys(statement.order, self.collection.id_col))
         return rows.select(*wanted)
 
+    def sorted_by(self, rows: DataFrame, how: str, date: str) -> DataFrame:
+        """Rows of found() as old clients ask for them: by "hit" (most relevant first), "date" (latest first) or "date_in_order"."""
+        keys = {"hit": F.desc("relevance"), "date": F.desc(date), "date_in_order": F.asc(date)}
+        if how not in keys:
+            raise ValueError(f"no way of sorting is called {how!r}")
+        return rows.orderBy(keys[how], self.collection.id_col)
+
     def count(self, source: str) -> DataFrame:
         """(result_count, parsed_query): documents that match, before any limit."""
         statement = d.parse(source)

@@ -81,7 +81,7 @@ def parse_declarations(text: str) -> Collection:
 
 
 #: Analyser numbers of declarations.
-ANALYZERS = {"0": "whitespace", "2": "concat", "10": "word", "11": "word", "12": "word", "20": "bigram", "21": "bigram", "30": "bigram", "100": "word"}
+ANALYZERS = {"0": "whitespace", "2": "concat", "10": "noun", "11": "compound", "12": "part", "20": "bigram", "21": "bigram", "30": "bigram", "100": "morpheme"}
 
 
 def enum_code(column: Column, enums: Mapping[str, int]) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "loomdex", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +22,23 @@ def session(name: str = "loomdex", master: str | None = None, **conf: str) -> Sp
     for k, v in settings.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, in spark.checkpoint.dir; one of this machine where that is unset, in local mode."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context = spark.sparkContext._jsc.sc()
+        if context.getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomdex-"))
+        root = context.getCheckpointDir().get()
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: later reads see the same rows, and nothing stays in executors' memory."""
+    folder = workspace(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

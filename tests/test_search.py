@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomdex.operators import index, search
 from loomdex.plans.dialect import DialectError
@@ -78,19 +79,58 @@ def test_index_gives_what_the_scan_gives(docs):
 def test_postings_and_lexicon(docs):
     p = index.postings(docs, C)
     assert {(r.doc_id, r.field, r.pos) for r in p.where("word = 'b'").collect()} == {(1, 0, 1), (1, 1, 2), (2, 0, 0), (2, 1, 2), (4, 1, 1), (6, 1, 4)}
-    lex = index.lexicon(p).orderBy("word_id").collect()
+    lexicon = index.lexicon(index.document_words(docs, C))
+    lex = lexicon.orderBy("word_id").collect()
     assert [r.word for r in lex] == sorted(r.word for r in lex) and [r.word_id for r in lex] == list(range(1, len(lex) + 1))
-    assert index.check(p, index.lexicon(p)).count() == 0 and index.check(p.where("doc_id > 1"), index.lexicon(p)).count() > 0
+    assert index.check(p, lexicon).count() == 0 and index.check(p.where("doc_id > 1"), lexicon).count() > 0
     lists = {(r.word, r.doc_id): r for r in index.posting_lists(p).collect()}
     assert lists["b", 1].field_mask == 3 and [tuple(h) for h in lists["b", 1].hits] == [(0, 1), (1, 2)]
 
 
-def test_written_index_joins_without_a_shuffle_of_postings(spark, docs):
-    index.write(index.postings(docs, C), "tiny_postings", 4)
-    plan = index.document_frequency(index.read(spark, "tiny_postings").drop("pos"))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(word") <= 2
-    assert index.read(spark, "tiny_postings").where("word = 'b'").count() == 6
-    spark.sql("drop table tiny_postings")
+def test_written_index(spark, docs, tmp_path):
+    p, loose, tight = index.postings(docs, C), str(tmp_path / "loose"), str(tmp_path / "tight")
+    index.write(p, loose, 8, 3)
+    table = index.read(spark, loose)
+    assert {tuple(r) for r in table.drop("bucket").collect()} == {tuple(r) for r in p.collect()}
+    found = index.lookup(table, ["b", "c"], 8)
+    assert found.count() == 6 + p.where("word = 'c'").count() and index.lookup(table, [], 8).count() == 0
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in scan or "PartitionFilters: [isnotnull(bucket" in scan
+    files = {f.rsplit("/", 1)[0].rsplit("=", 1)[1] for f in found.inputFiles()}
+    assert len(files) <= 8
+    index.defragment(spark, loose, tight)
+    copied = index.read(spark, tight)
+    assert {tuple(r) for r in copied.collect()} == {tuple(r) for r in table.collect()} and len(copied.inputFiles()) == copied.select("bucket").distinct().count()
+    parts = [str(tmp_path / f"p{i}") for i in range(2)]
+    index.distribute(p, parts)
+    assert spark.read.parquet(*parts).count() == p.count() and spark.read.parquet(parts[1]).where("doc_id % 2 = 0").count() == 0
+
+
+def test_search_in_a_written_index_reads_its_words_buckets(spark, docs, tmp_path):
+    path = str(tmp_path / "index")
+    index.write(index.postings(docs, C), path)
+    ids_only = docs.select("doc_id")
+    for e in ("a & c", "a ! c", '"a b"', "body:a /2/ body:b", "ab*", "NUMERIC:1~5 + a"):
+        scan = {tuple(r) for r in search.search(docs, e, C).select("doc_id", "relevance").collect()}
+        found = search.search(ids_only, e, C, postings=index.read(spark, path))
+        assert {tuple(r) for r in found.collect()} == scan, e
+    # two documents of posting lists {1, 2} and {2, 3}
+    two = spark.createDataFrame([(1, "x"), (2, "x y"), (3, "y")], "doc_id long, title string").withColumn("body", F.lit(""))
+    assert [r.doc_id for r in search.search(two, "x & y", C).collect()] == [2]
+
+
+def test_numbers_relations_and_stems(spark):
+    d = spark.createDataFrame([(1, "7 007 x", ""), (2, "12 things", "abc"), (3, "thinging 1000000000000000000", ""), (4, "", "other")], "doc_id long, title string, body string")
+    assert ids(d, "NUMERIC:7") == {1} and ids(d, "NUMERIC:8~") == {2} and ids(d, "NUMERIC:~12") == {1, 2} and ids(d, "NUMERIC:8~9") == set()
+    with pytest.raises(DialectError):
+        ids(d, "NUMERIC:x")
+    assert ids(d, "REL:q", related={"q": {"a": ["abc"], "b": ["other", "abc"]}}) == {2, 4} and ids(d, "REL:abc") == {2}
+    assert ids(d, "MORP:thing") == {2, 3} and ids(d, "MORP:zzz") == set() and ids(d, "MORP:things & abc") == {2}
+    assert ids(d, "MORP:q", stems={"q": ["abc"]}) == {2}
+    sensible = spark.createDataFrame([(1, "sensibility", ""), (2, "sensible", ""), (3, "happy happily", "")], "doc_id long, title string, body string")
+    for w in ("sensibility", "sensible", "happy"):
+        same = {r.doc_id for r in sensible.collect() if any(search.stem_word(x) == search.stem_word(w) for x in r.title.split())}
+        assert ids(sensible, f"MORP:{w}") == same
 
 
 def test_engine(docs):
