@@ -30,7 +30,7 @@ from loomdex.llm.shared import bounded, tidy
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes that each of the two generations of chunks that a worker remembers takes, and the longest chunk remembered.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 40 << 20
 LONGEST_CHUNK = 256
 #: What a remembered chunk takes besides its text and ids.
 ENTRY = 200
