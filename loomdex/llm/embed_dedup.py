@@ -228,3 +228,16 @@ def deduplicate(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
         linked = good.drop("v").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
         out = linked.unionByName(out)
     return out
+
+
+#: The same rows in DuckDB's SQL, by all pairs.
+SQL = """
+with recursive v as (select vec_id, cast(embedding as double[]) as v from embeddings),
+good as (select * from v where vec_id is not null and len(v) > 0 and len(list_filter(v, lambda x: coalesce(isfinite(x), false))) = len(v) and len(list_filter(v, lambda x: x <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id and case when len(a.v) = len(b.v) then list_cosine_similarity(a.v, b.v) >= 0.95 else false end),
+r as (select vec_id as a, vec_id as b from good union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as least from r group by a),
+n as (select a, count(*) as n from l group by a)
+select v.vec_id as vec_id, coalesce(n.n, 0) as n_links, coalesce(c.least, v.vec_id) as component_id, coalesce(v.vec_id = coalesce(c.least, v.vec_id), false) as kept
+from v left join c on v.vec_id = c.a left join n on v.vec_id = n.a
+"""

@@ -338,3 +338,18 @@ def keep_one(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     gone = join(docs, recall).where("not kept").select(F.col("doc_id").alias("__jac_id")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("__jac_id"), "left_anti")
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns).union(left.where("doc_id is null").select(*docs.columns))
+
+
+#: The same rows in DuckDB's SQL, by all shingles that two documents share.
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as shingle from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from w where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b using (shingle) where a.doc_id <> b.doc_id group by 1, 2),
+l as (select a, b, shared = x.n and shared = y.n as same from p join n x on x.doc_id = a join n y on y.doc_id = b where shared >= 0.8 * (x.n + y.n - shared)),
+r as (select doc_id as a, doc_id as b from w union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as class_id from r group by a),
+m as (select a, count(*) as n_links, min(case when same then b end) as copy from l group by a)
+select c.a as doc_id, c.class_id as class_id, coalesce(m.n_links, 0) as n_links, least(c.a, coalesce(m.copy, c.a)) as copy_of, coalesce(c.a = c.class_id, true) as kept
+from c left join m on c.a = m.a
+"""

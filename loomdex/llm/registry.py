@@ -76,4 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_chosen_path_join,
     )
 }
-SQL: dict[str, str] = {"op6_preference_pairs": chat.SQL, "op7_dated_url_lists": urlfilter.SQL}
+SQL: dict[str, str] = {
+    "op3_pca_tiles": embed_dedup.SQL,
+    "op6_preference_pairs": chat.SQL,
+    "op7_dated_url_lists": urlfilter.SQL,
+    "op9_count_min_substrings": substring.SQL,
+    "op10_chosen_path_join": jaccard.SQL,
+}

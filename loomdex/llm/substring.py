@@ -343,3 +343,16 @@ def brute(rows: list[tuple[int, str | None]], k: int = WINDOW) -> dict[int, tupl
         kept = b" ".join([x for x, g in zip(w, gone, strict=True) if not g])
         out[d] = len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()
     return out
+
+
+#: The same rows in DuckDB's SQL, by all windows.
+SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, i, array_to_string(w[i:i + 12], ' ') as words from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w)),
+f as (select words, min(doc_id) as least from g group by words),
+c as (select distinct doc_id, unnest(range(i, i + 13)) as p from g join f using (words) where least < doc_id),
+t as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from w),
+k as (select doc_id, string_agg(word, ' ' order by p) as kept, count(*) as n from t anti join c using (doc_id, p) group by doc_id)
+select w.doc_id as doc_id, cast(len(w.w) as bigint) as n_words, cast(len(w.w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256
+from w left join k on w.doc_id = k.doc_id
+"""

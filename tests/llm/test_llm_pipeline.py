@@ -66,10 +66,14 @@ def test_stages(spark, tmp_path):
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 @pytest.mark.parametrize("name", list(registry.SQL))
 def test_queries_with_sql(spark, name):
+    same_as_sql(spark, name, SF, ("documents", "embeddings", "conversations", "pages"))
+
+
+def same_as_sql(spark, name, folder, tables):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
-        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = registry.QUERIES[name](spark, SF).toPandas(), con.sql(registry.SQL[name]).df()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    got, want = registry.QUERIES[name](spark, str(folder)).toPandas(), con.sql(registry.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
 
@@ -79,5 +83,20 @@ def test_queries_with_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["op3_pca_tiles", "op9_count_min_substrings", "op10_chosen_path_join"])
+def test_sql_of_edges(spark, tmp_path, name):
+    """Null, empty, short, blank-only and equal texts; null, zero, unfinished and shorter vectors."""
+    one = " ".join(f"w{i}" for i in range(40))
+    texts = [None, "", " \t\n", "a b", "a b", "b a", one, one, one + " more", "x " * 30, "x " * 31, f"{one}\u00a0é ü", "ä ö\x0bü " + one[:80], one.replace(" ", "  ")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [None, [], [0.0, 0.0], [1.0, None], [1.0, float("nan")], [float("inf"), 1.0], [1.0, 0.0], [2.0, 0.0], [1.0, 0.1], [1.0, 0.5], [1.0, 0.0, 0.0], [3.0, 0.0, 0.1], [-1.0, 0.0]]
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).collect(), con.sql(registry.SQL[name])
+    assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(want.fetchall())
+
+
 def test_columns_of_queries():
     assert list(registry.QUERIES) == sorted(registry.QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) and len(registry.QUERIES) == 10
