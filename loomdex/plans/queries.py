@@ -331,6 +331,40 @@ def put_latest_per_oid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
 
 
+@query("select d.doc_id, d.lang, coalesce(l.toxic = 1 and coalesce(l.quality, 0) <> 1, false) as deleted from documents d left join labels l on d.doc_id = l.doc_id")
+def undelete_oid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents marked as deleted, those of good quality taken back."""
+    labels = table(spark, sf_dir, "labels")
+    marked = store.mark_deleted(docs(spark, sf_dir).select("doc_id", "lang"), labels.where("toxic = 1"), "doc_id")
+    return store.undelete(marked, labels.where("quality = 1"), "doc_id")
+
+
+_RECORDS = "r as (select cast(user_id as varchar) as oid, event_id as seq, case when value < 5 then 'DEL' when value < 10 then 'ERR' else 'CD' end as status, event_type as title, case when value < 10 then null else event_type end as body from events)"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming records made from events: small values delete, somewhat larger ones have no text."""
+    e = table(spark, sf_dir, "events")
+    status = F.when(F.col("value") < 5, "DEL").otherwise("CD")
+    return e.select(F.col("user_id").cast("string").alias("oid"), F.col("event_id").alias("seq"), status.alias("status"), F.col("event_type").alias("title"), F.when(F.col("value") < 10, None).otherwise(F.col("event_type")).alias("body"))
+
+
+@query(f"with {_RECORDS} select status, count(*) as n from r group by status")
+def spool_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spool.checked(records(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_RECORDS} select oid, seq, title, body from (select *, row_number() over (partition by oid order by seq desc) as n from r where status <> 'ERR') where n = 1 and status = 'CD'")
+def spool_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spool.upserted(spool.checked(records(spark, sf_dir)))
+
+
+@query("select doc_id, case lang when 'en' then 1 when 'fr' then 2 when 'de' then 3 when 'es' then 4 end as lang_code, source, n_chars from documents")
+def docattr_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of all documents; texts are not read."""
+    return docs(spark, sf_dir).select("doc_id", "lang_code", "source", "n_chars")
+
+
 @query("select doc_id, text from documents where doc_id = 7")
 def get_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("doc_id = 7").select("doc_id", "text")
@@ -581,6 +615,12 @@ def abstract_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "relevance", "title", F.substring("body", 1, 255).alias("abstract"))
 
 
+@query(f"{_R}, p as (select * from a order by relevance desc, doc_id limit 10) select p.doc_id, d.body as abstract from p join d on p.doc_id = d.doc_id")
+def abstract_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole field as abstract."""
+    return engine(spark, sf_dir).run("SELECT doc_id, body SEARCH the & of ORDER_BY RELEVANCY DESC LIMIT 10").withColumnRenamed("body", "abstract")
+
+
 @query(f"{T}, f as (select doc_id, min(pos) as pos from t where word = 'thing' and field = 1 group by doc_id) select f.doc_id, array_to_string(l.w[greatest(f.pos - 5, 0) + 1 : f.pos + 6], ' ') as snippet from f join l on f.doc_id = l.doc_id and l.field = 1")
 def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", text.words(F.col("body")).alias("w"))

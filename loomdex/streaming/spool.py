@@ -44,8 +44,13 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, collecti
 
 def current(spark: SparkSession, out: str) -> DataFrame:
     """The newest version of every key that is not deleted."""
-    records = spark.read.parquet(f"{out}/records").where("status <> 'ERR'").select("oid", "seq", "status", "title", "body")
-    return store.latest(records, "oid", "seq").where("status = 'CD'").select("oid", "seq", "title", "body")
+    return upserted(spark.read.parquet(f"{out}/records"))
+
+
+def upserted(records: DataFrame) -> DataFrame:
+    """The newest record of every key, if that is a document; records with status ERR count for nothing."""
+    good = records.where("status <> 'ERR'").select("oid", "seq", "status", "title", "body")
+    return store.latest(good, "oid", "seq").where("status = 'CD'").select("oid", "seq", "title", "body")
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
