@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import bisect
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,19 +133,34 @@ def demand(schedule: Schedule, others: Sequence[Schedule] = (), grid: int = GRID
     return [x / out[-1] for x in out]
 
 
+def _table(numbers: Sequence[float], kind: str) -> Column:
+    """An array of these numbers as one literal: an expression per number would make plans large, and the driver copies plans."""
+    return F.split(F.lit(",".join(map(repr, numbers))), ",").cast(f"array<{kind}>")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which stands in the plan once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def inverse(progress: Column, curve: Sequence[float]) -> Column:
     """Time at which this tabulated curve, which does not fall, reaches progress. A table by even steps of progress says between
     which grid points to look, so that a row compares with a few of them only."""
     grid = len(curve) - 1
     below = [bisect.bisect_right(curve, i / grid) for i in range(grid + 1)]
-    steps, least = F.array(*[F.lit(x) for x in curve]), F.array(*[F.lit(x) for x in below])
-    cell = F.least(F.floor(progress * grid), F.lit(grid - 1)).cast("int")
-    lo, hi = F.element_at(least, cell + 1), F.element_at(least, cell + 2)
-    among = F.slice(steps, lo + 1, hi - lo)
-    k = F.least(F.greatest(lo + F.size(F.filter(among, lambda x: x <= progress)), F.lit(1)), F.lit(grid))
-    lo, hi = F.element_at(steps, k), F.element_at(steps, k + 1)
-    inner = F.when(hi > lo, (progress - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return (k - 1 + F.least(inner, F.lit(1.0))) / grid
+    steps, least = _table([float(x) for x in curve], "double"), _table(below, "int")
+
+    def above(p: Column) -> Column:
+        """Number of the grid point that begins the step which p falls into, from 1."""
+        cell = F.least(F.floor(p * grid), F.lit(grid - 1)).cast("int")
+        ends = F.slice(least, cell + 1, F.lit(2))
+        return _let(ends, lambda e: F.least(F.greatest(e[0] + F.size(F.filter(F.slice(steps, e[0] + 1, e[1] - e[0]), lambda x: x <= p)), F.lit(1)), F.lit(grid)))
+
+    def within(p: Column, k: Column, ends: Column) -> Column:
+        inner = F.when(ends[1] > ends[0], (p - ends[0]) / (ends[1] - ends[0])).otherwise(F.lit(0.0))
+        return (k - 1 + F.least(inner, F.lit(1.0))) / grid
+
+    return _let(progress, lambda p: _let(above(p), lambda k: _let(F.slice(steps, k, F.lit(2)), lambda ends: within(p, k, ends))))
 
 
 def position(progress: Column, source: Column, schedules: Mapping[str, Schedule] | None = None, grid: int = GRID) -> Column:
