@@ -214,6 +214,7 @@ def candidates(reps: DataFrame, recall: float = TARGET_RECALL, depths: tuple[int
             each = large.groupBy("rep").agg(F.collect_list("path").alias("paths"))
             paths = next_paths(each.join(reps.select("rep", "sig"), "rep"), depth - at)
             at = depth
+        new = cut(new)  # a level at a time: the driver holds the plan of one, and its shuffles can go
         edges = new if edges is None else edges.union(new)
     return edges
 
@@ -226,7 +227,7 @@ def exact(members: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) ->
     kind = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 / threshold)).cast("int")
     need = lambda sets_, shingles: F.greatest(F.ceil(F.col(sets_) / TILE), F.ceil(F.col(shingles) / TILE_SHINGLES)).cast("int")
     members = members.withColumn("kind", kind)
-    counted = members.groupBy("component", "kind").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    counted = cut(members.groupBy("component", "kind").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")))  # read six times below
     counted = counted.join(counted.groupBy("component").agg(F.sum("sets").alias("all"), F.sum("shingles").alias("all_shingles")), "component")
     # what fits in one tile is not split by size
     fits = need("all", "all_shingles") <= 1
@@ -321,7 +322,7 @@ def join(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"))
     classes = cut(classes)
     groups = components(candidates(classes.select("rep", "sig"), recall))
-    members = classes.select("rep", "size", "n").join(groups.withColumnRenamed("node", "rep"), "rep")
+    members = cut(classes.select("rep", "size", "n").join(groups.withColumnRenamed("node", "rep"), "rep"))
     counts, edges = exact(members, narrow)
     parts = components(edges)
     known = classes.join(counts, "rep", "left").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
